@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
-from slicewin.llm import mixing, sharding
+from slicewin.llm import decontaminate, mixing, sharding, urlfilter
 
 
 def queries() -> dict:
-    return {"op2_sharding": sharding.op2_sharding, "op3_mixing": mixing.op3_mixing}
+    return {
+        "op2_sharding": sharding.op2_sharding,
+        "op3_mixing": mixing.op3_mixing,
+        "op5_urlfilter": urlfilter.op5_urlfilter,
+        "op8_decontamination": decontaminate.op8_decontamination,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": mixing.ORACLE_SQL}
+    return {
+        "op3_mixing": mixing.ORACLE_SQL,
+        "op5_urlfilter": urlfilter.ORACLE_SQL,
+        "op8_decontamination": decontaminate.ORACLE_SQL,
+    }
