@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from slicewin.llm import decontaminate, mixing, sharding, urlfilter
+from slicewin.llm import decontaminate, mixing, neardup, rans, sharding, urlfilter
 
 
 def queries() -> dict:
@@ -10,7 +10,9 @@ def queries() -> dict:
         "op2_sharding": sharding.op2_sharding,
         "op3_mixing": mixing.op3_mixing,
         "op5_urlfilter": urlfilter.op5_urlfilter,
+        "op7_tokens": rans.op7_tokens,
         "op8_decontamination": decontaminate.op8_decontamination,
+        "op10_neardup": neardup.op10_neardup,
     }
 
 
@@ -19,4 +21,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_mixing": mixing.ORACLE_SQL,
         "op5_urlfilter": urlfilter.ORACLE_SQL,
         "op8_decontamination": decontaminate.ORACLE_SQL,
+        "op10_neardup": neardup.ORACLE_SQL,
     }
