@@ -81,6 +81,20 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, i
     return placed.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
+    """The rows of ``docs``, each repeated as often as the mix takes it; a part taken at the cut counts as one.
+
+    Rows of one doc_id and source share what the mix takes of them evenly. Documents without words
+    carry no weight in the mix and stay once.
+    """
+    taken = mix(docs, weights, most).groupBy("doc_id", "source").agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_size"))
+    taken = taken.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.coalesce(F.expr("try_divide(_taken, _size)"), F.lit(1.0)).alias("_share"))
+    on = docs["doc_id"].eqNullSafe(taken["_id"]) & docs["source"].eqNullSafe(taken["_source"])
+    times = F.ceil(F.col("_share")).cast("int")
+    rows = docs.join(taken, on).withColumn("_turn", F.explode(F.array_repeat(F.lit(1), times)))
+    return rows.select(*[docs[c] for c in docs.columns])
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("source")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from slicewin.llm import decontaminate, mixing, neardup, rans, sharding, urlfilter
+from slicewin.llm import decontaminate, mixing, neardup, quality, rans, sharding, urlfilter
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op5_urlfilter": urlfilter.op5_urlfilter,
         "op7_tokens": rans.op7_tokens,
         "op8_decontamination": decontaminate.op8_decontamination,
+        "op9_quality": quality.op9_quality,
         "op10_neardup": neardup.op10_neardup,
     }
 
