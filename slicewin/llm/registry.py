@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from slicewin.llm import decontaminate, html_text, mixing, neardup, quality, rans, sharding, topk, urlfilter
+from slicewin.llm import decontaminate, html_text, mixing, neardup, pii, quality, rans, sharding, topk, urlfilter
 
 
 def queries() -> dict:
     return {
+        "op1_pii": pii.op1_pii,
         "op2_sharding": sharding.op2_sharding,
         "op3_mixing": mixing.op3_mixing,
         "op4_topk": topk.op4_topk,
