@@ -26,7 +26,7 @@ _powers: dict[str, np.ndarray] = {}
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers.get("up", ())) < n:
+    if "up" not in _powers or len(_powers["up"]) < n:
         size = max(n, STRETCH * 2)
         up, down = np.full(size, _STEP), np.full(size, U(pow(int(_STEP), -1, 2**64)))
         up[0] = down[0] = 1
