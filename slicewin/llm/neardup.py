@@ -160,7 +160,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, id_col: str
     heads = keys.groupBy("value").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("m")).where("m > 1").select("value", "b")
     stars = keys.join(heads, "value").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
     firm = materialize(confirm(stars, nodes, docs, k, percent, id_col, text_col), "stars")
-    lead = firm.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("l"))
+    lead = components(firm).withColumnRenamed("component", "l")
     led = nodes.join(lead, "node", "left").withColumn("leader", F.coalesce("l", "node"))
     index = materialize(inverted(led, rarity(nodes)), "lists")
     x = index.select("value", F.col("node").alias("a"), F.col("n").alias("na"), F.col("leader").alias("la"), F.col("left").alias("ra"))
