@@ -6,10 +6,11 @@ least SHARED of their retained values (five standard deviations below the mean),
 each enters the lists of its rarest ``size - SHARED + 1`` values, in an order that is the same for
 all. Rarity is read from a histogram of BUCKETS counts over all sketches, a size that is fixed.
 
-Two rounds keep the lists from giving all pairs. First each node is compared with the smallest node of
-the lists of its FIRST smallest values; whatever holds to one leader is connected. Then the lists give
-only pairs that do not hold to one leader. Pairs are filtered by the sketch of their union and
-confirmed on the full sets; components come from repeated joins of tables.
+Rounds keep the lists from giving all pairs. First each node is compared with one head of each of its
+lists, the node with the fewest rarer values; then with each list's smallest node, unless both are connected
+by then. At last the lists give only pairs that are not connected yet. Pairs are filtered by the sketch of
+their union and confirmed on the full sets, which the sketches are where a set has no more than SKETCH
+values; components come from repeated joins of tables.
 """
 
 from __future__ import annotations
@@ -24,9 +25,10 @@ from pyspark.sql import functions as F
 from slicewin.llm.common import materialize, table
 from slicewin.llm.textscan import SPACED, Words, grams, stretches
 
-SKETCH, SHARED = 64, 36
+SKETCH, SHARED = 256, 173
 BUCKETS = 1 << 16
-FIRST = 3
+#: Longs of a set of marks: a bit for each retained value, by its last bits.
+MARKS = 8
 
 
 def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -47,18 +49,21 @@ def lists(values: list[np.ndarray]) -> pa.Array:
 def sketches(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, sig, small = [], [], []
+            n, sig, small, marks = [], [], [], []
             for s in shingle_sets(b.column(1), k):
                 n.append(len(s))
                 sig.append(s.tobytes())
                 small.append(s[:SKETCH])
+                bits = np.zeros(64 * MARKS, bool)
+                bits[small[-1] & (64 * MARKS - 1)] = True
+                marks.append(np.packbits(bits).view(np.int64))
             import hashlib
 
             sig = [hashlib.md5(x).digest() for x in sig]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), lists(small)], names=["doc_id", "n", "sig", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), lists(small), lists(marks)], names=["doc_id", "n", "sig", "sketch", "marks"])
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, n long, sig binary, sketch array<long>")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, n long, sig binary, sketch array<long>, marks array<long>")
 
 
 def rarity(nodes: DataFrame) -> np.ndarray:
@@ -79,12 +84,12 @@ def rarity(nodes: DataFrame) -> np.ndarray:
 
 
 def inverted(nodes: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(value, node, n, leader, left): left counts the values from this on, in the order of rarity."""
+    """(value, node, n, left): left counts the values from this on, in the order of rarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, value, left = [], [], []
-            flat, at = b.column(3).flatten().to_numpy(zero_copy_only=False), b.column(3).offsets.to_numpy()
+            flat, at = b.column(2).flatten().to_numpy(zero_copy_only=False), b.column(2).offsets.to_numpy()
             at = at - at[0]
             for i in range(b.num_rows):
                 v = flat[at[i] : at[i + 1]]
@@ -96,22 +101,34 @@ def inverted(nodes: DataFrame, counts: np.ndarray) -> DataFrame:
                 left.append(s - np.arange(take))
             if rows:
                 i = pa.array(np.concatenate(rows))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(value)), *[b.column(c).take(i) for c in range(3)], pa.array(np.concatenate(left).astype(np.int32))],
-                    names=["value", "node", "n", "leader", "left"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(value)), *[b.column(c).take(i) for c in range(2)], pa.array(np.concatenate(left).astype(np.int32))], names=["value", "node", "n", "left"])
 
-    kind = dict(nodes.dtypes)["node"]
-    return nodes.select("node", "n", "leader", "sketch").mapInArrow(run, f"value long, node {kind}, n long, leader {kind}, left int")
+    return nodes.select("node", "n", "sketch").mapInArrow(run, f"value long, node {dict(nodes.dtypes)['node']}, n long, left int")
+
+
+def shared_lists(index: DataFrame) -> DataFrame:
+    """The rows of the lists with two nodes or more, with the list's heads: central (fewest rarer values) and smallest."""
+    heads = index.groupBy("value").agg(F.max(F.struct("left", "node"))["node"].alias("central"), F.min("node").alias("smallest"), F.count(F.lit(1)).alias("m"))
+    return index.join(heads.where("m > 1").drop("m"), "value")
+
+
+def led(index: DataFrame, links: DataFrame) -> DataFrame:
+    """``index`` with each node's leader: the smallest node that ``links`` connect it with."""
+    return index.join(components(links).withColumnRenamed("component", "leader"), "node", "left").withColumn("leader", F.coalesce("leader", "node"))
 
 
 def confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough: by the union's sketch, then by the full sets."""
     pairs = pairs.join(nodes.select(F.col("node").alias("a"), F.col("sketch").alias("x"), F.col("n").alias("na")), "a")
     pairs = pairs.join(nodes.select(F.col("node").alias("b"), F.col("sketch").alias("y"), F.col("n").alias("nb")), "b")
+    whole = (F.col("na") <= SKETCH) & (F.col("nb") <= SKETCH)
+    common = F.size(F.array_intersect("x", "y"))
     both = F.size(F.array_intersect(F.slice(F.array_sort(F.array_union("x", "y")), 1, SKETCH), F.array_intersect("x", "y")))
     need = F.least(F.lit(SHARED), F.ceil(F.least("na", "nb") * percent / 100))
-    close = materialize(pairs.where((both >= need) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))).select("a", "b", "na", "nb"), "close")
+    similar = F.when(whole, 100 * common >= percent * (F.col("na") + F.col("nb") - common)).otherwise(both >= need)
+    compatible = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    close = materialize(pairs.where(compatible).where(similar).select("a", "b", whole.alias("whole")), "close")
+    sure, close = close.where("whole").select("a", "b"), close.where("NOT whole").select("a", "b")
     wanted = close.select(F.explode(F.array("a", "b")).alias("node")).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +142,7 @@ def confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent
     close = close.join(full.select(F.col("node").alias("b"), F.col("full").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     union = F.size("x") + F.size("y") - common
-    return close.where((100 * common >= percent * union) & (union > 0)).select("a", "b").distinct()
+    return sure.union(close.where((100 * common >= percent * union) & (union > 0)).select("a", "b"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -155,18 +172,22 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, id_col: str
     docs = docs.select(F.col(id_col), F.col(text_col))
     rows = materialize(sketches(docs, k, id_col, text_col), "sketch")
     used = rows.where("n > 0 AND doc_id IS NOT NULL")
-    nodes = materialize(used.groupBy("sig").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
-    keys = nodes.select("node", F.explode(F.slice("sketch", 1, FIRST)).alias("value"))
-    heads = keys.groupBy("value").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("m")).where("m > 1").select("value", "b")
-    stars = keys.join(heads, "value").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
-    firm = materialize(confirm(stars, nodes, docs, k, percent, id_col, text_col), "stars")
-    lead = components(firm).withColumnRenamed("component", "l")
-    led = nodes.join(lead, "node", "left").withColumn("leader", F.coalesce("l", "node"))
-    index = materialize(inverted(led, rarity(nodes)), "lists")
-    x = index.select("value", F.col("node").alias("a"), F.col("n").alias("na"), F.col("leader").alias("la"), F.col("left").alias("ra"))
-    y = index.select("value", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("leader").alias("lb"), F.col("left").alias("rb"))
+    nodes = materialize(used.groupBy("sig").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("marks").alias("marks")), "nodes")
+    index = materialize(shared_lists(inverted(nodes, rarity(nodes))), "lists")
+    first = index.where("node <> central").select(F.col("node").alias("a"), F.col("central").alias("b")).distinct()
+    firm = materialize(confirm(first, nodes, docs, k, percent, id_col, text_col), "stars")
+    held = led(index.select("value", "node", "smallest"), firm)
+    ends = held.join(held.where("node = smallest").select("value", F.col("leader").alias("other")), "value").where("leader <> other")
+    second = ends.select(F.col("node").alias("a"), F.col("smallest").alias("b")).distinct()
+    firm = materialize(firm.union(confirm(second, nodes, docs, k, percent, id_col, text_col)), "stars")
+    held = materialize(led(index, firm).join(nodes.select("node", "marks"), "node"), "led")
+    x = held.select("value", F.col("node").alias("a"), F.col("n").alias("na"), F.col("leader").alias("la"), F.col("left").alias("ra"), F.col("marks").alias("ma"))
+    y = held.select("value", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("leader").alias("lb"), F.col("left").alias("rb"), F.col("marks").alias("mb"))
     near = (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    enough = F.least("ra", "rb") >= F.least(F.lit(SHARED), F.ceil(F.greatest("na", "nb") * percent / 100))
+    # Similar sets share this many retained values; they share no more than come from this one on, nor than those whose marks the other has.
+    need = F.when(F.greatest("na", "nb") <= SKETCH, F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent))).otherwise(F.least(F.lit(SHARED), F.ceil(F.greatest("na", "nb") * percent / 100)))
+    lone = [sum(F.bit_count(F.get(p, F.lit(i)).bitwiseAND(F.bitwise_not(F.get(q, F.lit(i))))) for i in range(MARKS)) for p, q in (("ma", "mb"), ("mb", "ma"))]
+    enough = (F.least("ra", "rb") >= need) & (F.least("na", F.lit(SKETCH)) - lone[0] >= need) & (F.least("nb", F.lit(SKETCH)) - lone[1] >= need)
     pairs = x.join(y, "value").where(near & enough).select("a", "b").distinct()
     more = confirm(pairs, nodes, docs, k, percent, id_col, text_col)
     copies = used.select("sig", F.col("doc_id").alias("a")).join(nodes.select("sig", F.col("node").alias("b")), "sig").where("a <> b").select("a", "b")
