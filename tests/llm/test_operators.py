@@ -24,6 +24,27 @@ def test_neardup(spark):
     assert neardup.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_group_of_near_copies(spark):
+    """A group whose members are similar to some of the others only, and sets larger than a sketch, against all pairs."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for size in (150, 400):
+        base = [f"b{size}x{i}" for i in range(size)]
+        for _ in range(50):
+            words = list(base)
+            for at in rng.integers(0, size, rng.integers(0, size // 16)):
+                words[at] = f"e{rng.integers(1 << 40)}"
+            rows.append((len(rows), " ".join(words)))
+    sets = [{tuple(w[j : j + 4]) for j in range(len(w) - 3)} for w in (t.split() for _, t in rows)]
+    linked = [[y for y, v in enumerate(sets) if 100 * len(u & v) >= 80 * len(u | v)] for u in sets]
+    root = list(range(len(rows)))
+    for _ in rows:
+        root = [min(root[y] for y in near) for near in linked]
+    assert 2 < len(set(root)) < len(rows)
+    out = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(docs(spark, rows)).collect()}
+    assert out == {x: (len(sets[x]), root[x], root[x] == x) for x in range(len(rows))}
+
+
 def test_rans_round_trip():
     rng = np.random.default_rng(1)
     for ids in (np.zeros(1, int), np.full(5000, 3), rng.zipf(1.3, 70_001) % 1000, np.arange(1000)):
