@@ -1,11 +1,12 @@
 r"""Operator 1: information-theoretic sanitisation, in DataFrame operations only.
 
-Base spans are found by patterns: email, ip, card, phone. Each distinct value of a base span is a
-protected entity. The terms of an entity are the words close to it (NEAR characters on both sides, the same line). Corpus
-counts tell how strongly a term reveals an entity: with p the share of documents, the term discloses
-PMI = log(p(term, entity) / (p(term) p(entity))) of the entity's information IC = -log p(entity). A
-term that discloses at least THRESHOLD of it, in at least SUPPORT documents, is removed wherever it
-stands close to that entity; it becomes a span of kind ``term``. All documents count.
+Base spans are found by patterns: email, ip, card, phone. Protected entities are each distinct value of a
+base span and the classes it belongs to: its kind, the domain of an email, the first two and three numbers
+of an ip, the leading digits of a card or phone. The terms of a document are its words outside base spans,
+wherever they stand. Corpus counts tell how strongly a term reveals an entity: with p the share of documents,
+the term discloses PMI = log(p(term, entity) / (p(term) p(entity))) of the entity's information
+IC = -log p(entity). A term that discloses at least THRESHOLD of it, in at least SUPPORT documents, is removed
+wherever it stands, also from documents without the entity; it becomes a span of kind ``term``. All documents count.
 
 Texts are cut at the matches, so positions are sums of lengths in code points. The patterns begin
 where no longer match could have begun, which keeps long runs linear and changes no match.
@@ -13,6 +14,8 @@ where no longer match could have begun, which keeps long runs linear and changes
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,11 +29,11 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 WORD = r"[\p{L}\p{M}\p{Nd}]+"
-NEAR, SUPPORT, THRESHOLD = 48, 3, 0.9
+SUPPORT, THRESHOLD = 3, 0.9
 
 
-def located(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, value>>: leftmost matches that do not overlap, in code points, end exclusive."""
+def located(text: Column, pattern: str, wanted: Callable[[Column], Column] | None = None) -> Column:
+    """array<struct<start, end, value>>: leftmost matches that do not overlap, in code points, end exclusive; only ``wanted`` values."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pieces = F.transform(F.split(text, pattern, -1), lambda p: F.length(p))
     none = F.array().cast("array<struct<start:int,end:int,value:string>>")
@@ -39,7 +42,8 @@ def located(text: Column, pattern: str) -> Column:
     def step(s: Column, x: Column) -> Column:
         start = s["at"] + x["gap"]
         end = start + F.length(x["value"])
-        return F.struct(end.alias("at"), F.concat(s["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value")))).alias("out"))
+        more = F.concat(s["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"))))
+        return F.struct(end.alias("at"), (more if wanted is None else F.when(wanted(x["value"]), more).otherwise(s["out"])).alias("out"))
 
     both = F.zip_with(F.slice(pieces, F.lit(1), F.size(found)), found, lambda g, v: F.struct(g.alias("gap"), v.alias("value")))
     return F.when(F.size(found) > 0, F.aggregate(both, zero, step, lambda s: s["out"])).otherwise(none)
@@ -73,8 +77,21 @@ def judge(kind: str):
     return lambda s: valid(kind, s["value"])
 
 
-def entity(kind: str):
-    return lambda s: F.struct(s["start"], s["end"], F.xxhash64(F.lit(kind), F.lower(s["value"])).alias("entity"))
+def entities(kind: str):
+    """The protected entities of a span: its value, the classes of its value, its kind; as hashes."""
+
+    def of(s: Column) -> Column:
+        value = F.lower(s["value"]) if kind in ("email", "ip") else digits(s["value"])
+        if kind == "email":
+            domain = F.substring_index(value, "@", -1)
+            classes = [domain, F.substring_index(domain, ".", -2)]
+        elif kind == "ip":
+            classes = [F.substring_index(value, ".", n) for n in (2, 3)]
+        else:
+            classes = [F.substring(value, 1, n) for n in ((6,) if kind == "card" else (3, 6))]
+        return F.array(F.xxhash64(F.lit(kind)), F.xxhash64(F.lit(kind), F.lit("value"), value), *[F.xxhash64(F.lit(kind), F.lit(str(i)), c) for i, c in enumerate(classes)])
+
+    return of
 
 
 def labelled(kind: str):
@@ -96,44 +113,62 @@ def base_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows
 
 
-def near_terms(spans: DataFrame) -> DataFrame:
-    """(doc, entity, term, start, end): the words on the lines of base spans, close to them."""
-    every = F.flatten(F.array(*[F.transform(k, entity(k)) for k in KINDS]))
-    x = spans.select("doc", "text", F.explode(every).alias("s"))
-    lead = F.least(F.col("s.start"), F.lit(NEAR))
-    x = x.select("doc", F.col("s.entity").alias("entity"), F.col("s.start").alias("a"), F.col("s.end").alias("b"), F.substring("text", F.col("s.start") - lead + 1, lead).alias("before"), F.substring("text", F.col("s.end") + 1, F.lit(NEAR)).alias("after"))
-    before, after = F.substring_index("before", "\n", -1), F.substring_index("after", "\n", 1)
-    left = F.transform(located(before, WORD), lambda w: F.struct(F.lower(w["value"]).alias("term"), (w["start"] + F.col("a") - F.length(before)).alias("start"), (w["end"] + F.col("a") - F.length(before)).alias("end")))
-    right = F.transform(located(after, WORD), lambda w: F.struct(F.lower(w["value"]).alias("term"), (w["start"] + F.col("b")).alias("start"), (w["end"] + F.col("b")).alias("end")))
-    return x.select("doc", "entity", F.explode(F.concat(left, right)).alias("w")).select("doc", "entity", "w.term", "w.start", "w.end")
+def words(text: Column) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lower))
+
+
+def blanked(text: Column, spans: Column) -> Column:
+    """``text`` with spaces for its spans."""
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(s: Column, c: Column) -> Column:
+        keep = F.substring(text, s["at"] + 1, F.greatest(c["start"] - s["at"], F.lit(0)))
+        put = F.repeat(F.lit(" "), F.greatest(c["end"] - F.greatest(c["start"], s["at"]), F.lit(0)))
+        return F.struct(F.greatest(s["at"], c["end"]).alias("at"), F.concat(s["out"], keep, put).alias("out"))
+
+    return F.aggregate(F.array_sort(F.transform(spans, lambda s: F.struct(s["start"], s["end"]))), zero, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+
 
+def disclosing(spans: DataFrame) -> DataFrame:
+    """The terms that disclose enough of an entity; document frequencies over all documents.
 
-def disclosing(docs: DataFrame, near: DataFrame) -> DataFrame:
-    """(entity, term) whose term discloses enough of the entity; document frequencies over all documents."""
-    n = docs.count()
-    co = near.select("doc", "entity", "term").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= SUPPORT)
-    of = near.select("doc", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("of"))
-    co = materialize(co.join(of, "entity"), "pii-pairs")
-    wanted = co.select("term").distinct()
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("term"))
-    df = words.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(wanted, "term", "left_semi")
-    ratio = F.log(F.lit(float(n)) * F.col("both") / (F.col("df") * F.col("of"))) / -F.log(F.col("of") / F.lit(float(n)))
-    return co.join(df, "term").where((F.col("of") < n) & (ratio >= THRESHOLD)).select("entity", "term")
+    With p the share of documents, PMI / IC is at least THRESHOLD if both / df is at least p(entity) ** (1 -
+    THRESHOLD). So terms that are not in that share of the documents with base spans, for the rarest entity
+    of SUPPORT documents, are left out before pairs are made, which loses none.
+    """
+    found = F.flatten(F.array(*[F.flatten(F.transform(k, entities(k))) for k in KINDS]))
+    held = materialize(spans.where(F.col("bare").isNotNull()).select("doc", "bare", F.array_distinct(found).alias("entities")).dropDuplicates(["doc"]), "pii-held")
+    rest = spans.where(F.col("bare").isNull())
+    n = float(held.count() + rest.count())
+    of = held.select("doc", F.explode("entities").alias("entity"))
+    recurring = of.groupBy("entity").agg(F.count(F.lit(1)).alias("of")).where((F.col("of") >= SUPPORT) & (F.col("of") < n))
+    inside = held.select("doc", F.explode(words(F.col("bare"))).alias("term"))
+    terms = materialize(inside.groupBy("term").agg(F.count(F.lit(1)).alias("inside")).where(F.col("inside") >= SUPPORT), "pii-inside")
+    outside = rest.select(F.explode(words(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("outside"))
+    terms = terms.join(outside, "term", "left").select("term", "inside", (F.col("inside") + F.coalesce("outside", F.lit(0))).alias("df"))
+    terms = materialize(terms.where(F.col("inside") >= 0.999 * F.col("df") * (SUPPORT / max(n, SUPPORT)) ** (1 - THRESHOLD)), "pii-terms")
+    pairs = inside.join(terms.select("term", "df"), "term").join(of.join(recurring, "entity"), "doc")
+    pairs = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"), F.first("of").alias("of"), F.first("df").alias("df")).where(F.col("both") >= SUPPORT)
+    ratio = F.log(F.lit(n) * F.col("both") / (F.col("df") * F.col("of"))) / -F.log(F.col("of") / F.lit(n))
+    return materialize(pairs.where(ratio >= THRESHOLD).select("term").distinct(), "pii-disclosing")
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text, n_email, n_ip, n_card, n_phone, base (array of kind, start, end), terms (alike).
 
-    A null text is empty and has no spans. Repeated rows get equal spans and count as documents each
-    for word frequencies, once for co-occurrence. Other columns are not read; an empty table gives no rows.
+    A null text is empty and has no spans. Repeated rows get equal spans; those with base spans count as one
+    document, those without as documents each. Copies under other ids are documents of their own. Other
+    columns are not read; an empty table gives no rows.
     """
-    spans = materialize(base_spans(docs, id_col, text_col), "pii")
-    near = materialize(near_terms(spans).distinct(), "pii-near")
-    hits = near.join(disclosing(spans, near), ["entity", "term"]).groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("found"))
+    spans = base_spans(docs, id_col, text_col)
     base = F.concat(*[F.transform(k, labelled(k)) for k in KINDS])
+    spans = materialize(spans.withColumn("bare", F.when(F.size(base) > 0, blanked(F.col("text"), base))), "pii")
+    bare = F.coalesce("bare", "text")
+    hits = spans.select("doc", F.explode(words(bare)).alias("term")).join(disclosing(spans), "term", "left_semi")
+    hits = materialize(hits.groupBy("doc").agg(F.collect_set("term").alias("found")), "pii-hits")
     rows = spans.join(hits, "doc", "left").withColumn("base", base)
-    own = F.filter("found", lambda t: ~F.exists("base", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
-    terms = F.coalesce(F.transform(own, lambda s: F.struct(F.lit("term").alias("kind"), s["start"], s["end"])), F.array().cast("array<struct<kind:string,start:int,end:int>>"))
+    own = located(bare, WORD, lambda value: F.array_contains("found", F.lower(value)))
+    terms = F.when(F.col("found").isNotNull(), F.transform(own, labelled("term"))).otherwise(F.array().cast("array<struct<kind:string,start:int,end:int>>"))
     return rows.select("doc_id", "text", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], "base", terms.alias("terms"))
 
 

@@ -96,6 +96,16 @@ def test_disclosing_terms_are_removed(spark):
     assert out[10] == "call me now at noon"
 
 
+def test_terms_disclose_classes_over_whole_documents(spark):
+    """Each address is there once; the name stands lines and many characters away, or without any address."""
+    far = "filler words " * 8
+    rows = [(i, f"Quizzle\n{far}\nu{i}@acme.test") for i in range(5)] + [(5, f"ask QUIZZLE {far}"), *[(9 + i, far) for i in range(40)]]
+    out = {r["doc_id"]: r for r in pii.find_personal_data(docs(spark, [*rows, rows[0], rows[0]])).collect()}
+    assert [tuple(s) for s in out[0]["terms"]] == [("term", 0, 7)] and [tuple(s) for s in out[0]["base"]] == [("email", 9 + len(far), 21 + len(far))]
+    assert [tuple(s) for s in out[5]["terms"]] == [("term", 4, 11)]
+    assert out[9]["terms"] == []
+
+
 def test_html(spark):
     page = "<html><nav>menu</nav><article><h1>T&amp;t</h1><p>a  <b>b</b><br>c<p>d</article><div class='comments'>no</div><script>x<y</script><footer>f</footer>"
     rows = [(1, "http://h/1", page), (2, "http://h/2", None), (3, None, ""), *[(10 + i, f"http://k/{i}", f"<div>same</div><p>own {i}</p>") for i in range(5)]]
