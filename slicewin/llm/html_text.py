@@ -3,7 +3,7 @@
 Each page is a row of tokens: tags with their class and id, and text blocks. Over the pages of a host
 each token has an occurrence vector, which a sum of page hashes times counts stands for; tokens with
 one vector form a class. Classes that occur at least once on more than half of at least three pages
-are valid; nested by order they are the host's template. What lies between its tokens are slots; a text block
+are valid, where rows with equal html are one page; nested by order they are the host's template. What lies between its tokens are slots; a text block
 of the template itself is furniture. Slots inside elements that hold no article (menus, headers,
 footers, adverts, forms and the like) are left out, and if a page marks its article, the others too;
 a marked article keeps its blocks also where copies of the page make them frequent.
@@ -84,7 +84,7 @@ def hashed(token: str) -> int:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, furniture): the hashes of text blocks in valid classes of the host; at most about twice those of a page."""
+    """(host, furniture): the hashes of text blocks in valid classes of the host; at most about twice those of a page. Equal pages of a host count once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -95,12 +95,13 @@ def templates(pages: DataFrame) -> DataFrame:
                 count[(0, False)] = 1
                 at, n = list(count), len(count)
                 seed = hashed(page.as_py() or "")
+                pages_of = pa.array([seed] * n, pa.int64())
                 vector = [((seed % (1 << 31)) * c) for c in count.values()]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([host] * n), pa.array([a for a, _ in at]), pa.array([x for _, x in at]), pa.array(vector, pa.int64())], names=["host", "token", "is_text", "v"]
+                    [pa.array([host] * n), pages_of, pa.array([a for a, _ in at]), pa.array([x for _, x in at]), pa.array(vector, pa.int64())], names=["host", "page", "token", "is_text", "v"]
                 )
 
-    tokens = pages.select("host", "html").mapInArrow(run, "host string, token long, is_text boolean, v long")
+    tokens = pages.select("host", "html").mapInArrow(run, "host string, page long, token long, is_text boolean, v long").distinct()
     per = tokens.groupBy("host", "token", "is_text").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("v").cast("decimal(38,0)")).alias("vector"))
     classes = per.groupBy("host", "n", "vector").agg(F.max(F.when(F.col("token") == 0, F.col("n"))).alias("all"), F.collect_list(F.when(F.col("is_text"), F.col("token"))).alias("texts"))
     total = classes.where("all IS NOT NULL").select("host", F.col("all").alias("pages"))

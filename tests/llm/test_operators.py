@@ -115,6 +115,13 @@ def test_html(spark):
     assert out[12] == ("own 2", 5)
 
 
+def test_html_of_a_host_of_copies(spark):
+    """Copies of one page are most rows of the host, but one of its three different pages."""
+    rows = [(i, "http://h/a", "<div>same</div><p>copied words</p>") for i in range(6)] + [(10 + i, f"http://h/{i}", f"<div>same</div><p>own {i}</p>") for i in range(2)]
+    out = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out == {**{i: "copied words" for i in range(6)}, 10: "own 0", 11: "own 1"}
+
+
 def test_classifier(spark):
     clean = [(i, f"the quiet river {i} runs by the old mill and its {i} wheels") for i in range(60)]
     toxic = [(100 + i, f"the quiet river {i} runs by you grobnik and its mill") for i in range(12)]
