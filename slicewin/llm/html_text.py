@@ -1,12 +1,12 @@
-"""Operator 6: main text of pages by equivalence-class template deduction.
-
-Each page is a row of tokens: tags with their class and id, and text blocks. Over the pages of a host
-each token has an occurrence vector, which a sum of page hashes times counts stands for; tokens with
-one vector form a class. Classes that occur at least once on more than half of at least three pages
-are valid, where rows with equal html are one page; nested by order they are the host's template. What lies between its tokens are slots; a text block
-of the template itself is furniture. Slots inside elements that hold no article (menus, headers,
-footers, adverts, forms and the like) are left out, and if a page marks its article, the others too;
-a marked article keeps its blocks also where copies of the page make them frequent.
+"""Operator 6: main text of pages by tag names, class names and page frequency of text blocks.
+
+This stands in for equivalence-class template deduction, which is not built: tokens are grouped by
+their occurrences over the pages of a host, but neither order nor nesting of the groups is found, there are
+no slots, and the grouping changes no decision. What decides: text inside elements that hold no article
+(menus, headers, footers, adverts, forms and the like, by tag or class name) is left out. If a page
+marks its article, the text inside is kept and all other text is left out, whatever other pages hold. On
+other pages a text block is furniture if it is on at least three and on more than half of the pages of the
+host, where rows with equal html are one page.
 """
 
 from __future__ import annotations
@@ -84,7 +84,7 @@ def hashed(token: str) -> int:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, furniture): the hashes of text blocks in valid classes of the host; at most about twice those of a page. Equal pages of a host count once."""
+    """(host, furniture): the hashes of text blocks on at least three and more than half of the pages of the host; at most about twice those of a page. Equal pages of a host count once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
