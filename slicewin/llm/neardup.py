@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from slicewin.llm.common import materialize, table
@@ -198,9 +198,26 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, id_col: str
 
 
 def keep_one_of_each(docs: DataFrame, k: int = 5) -> DataFrame:
-    """The rows of ``docs`` that stand for their group, in their own columns; each id is kept once or never."""
-    keep = near_duplicates(docs, k).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["_kept"]), "left_semi")
+    """The rows of ``docs`` that stand for their group, in their own columns; one row of each group.
+
+    Rows of one doc_id are in one group, of which the first text by hash stays. Rows without doc_id are
+    compared like others under keys of their own, after all ids; doc_id is a whole number or a string.
+    """
+    known = docs.where("doc_id IS NOT NULL").withColumn("_key", F.col("doc_id"))
+    lone = docs.where("doc_id IS NULL")
+    if dict(docs.dtypes)["doc_id"] == "string":
+        key = F.concat(F.lit("\U0010FFFF"), F.monotonically_increasing_id().cast("string"))
+    else:
+        last = known.agg(F.max("doc_id").cast("long")).first()[0]
+        known = known.withColumn("_key", F.col("_key").cast("long"))
+        key = F.monotonically_increasing_id() + F.lit(max(last or 0, 0) + 1)
+    keyed = known.unionByName(materialize(lone.withColumn("_key", key), "lone"))
+    keep = near_duplicates(keyed, k, id_col="_key").where("kept").select("doc_id").distinct().withColumnRenamed("doc_id", "_key")
+    kept = keyed.join(keep, "_key", "left_semi")
+    often = materialize(keyed.groupBy("_key").count().where("count > 1").select("_key"), "often")
+    turn = F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64("text"), "text"))
+    once = kept.join(often, "_key", "left_semi").withColumn("_turn", turn).where("_turn = 1")
+    return kept.join(often, "_key", "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
 
 
 def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,6 +24,16 @@ def test_neardup(spark):
     assert neardup.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_one_row_of_each_group_stays(spark):
+    """Repeated rows, other texts of one id, and copies without ids."""
+    other = LONG.replace("w", "u")
+    rows = [*ROWS, (2, "other text of a kept or dropped id"), (9, other), (9, other), (9, "quite another text"), (None, other), (None, "lone " * 9), (None, "lone " * 9)]
+    kept = neardup.keep_one_of_each(docs(spark, rows)).collect()
+    assert sorted(r["doc_id"] for r in kept if r["doc_id"] is not None) == [1, 4, 5, 6, 8, 9]
+    assert sorted(r["text"] for r in kept if r["doc_id"] is None) == ["lone " * 9, "z"]
+    assert neardup.keep_one_of_each(docs(spark, [])).count() == 0
+
+
 def test_group_of_near_copies(spark):
     """A group whose members are similar to some of the others only, and sets larger than a sketch, against all pairs."""
     rng = np.random.default_rng(5)
