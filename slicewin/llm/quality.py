@@ -4,7 +4,8 @@ Four faults are judged: marks, repeats and tables, which are junk, and toxicity.
 on every document. Expectation-maximisation over the counts of vote patterns (at most 3**heuristics
 of them, over all documents) estimates how accurate each heuristic is and how likely each pattern
 means the fault. These posteriors label the documents on which a linear scorer over hashed features
-is trained, and the scorer judges all documents.
+is trained. The scorer judges all documents, and the posterior of a document's own votes, which covers all
+documents, counts where it is higher: a fault too rare to be among the trained ones is found by its votes.
 
 The words that a toxicity heuristic looks for are learned from labelled rows: at most LABELLED of
 them, those of the smallest hashes of their ids; the scorer is trained on at most TRAINED documents, chosen alike.
@@ -117,7 +118,7 @@ def learn_words(docs: DataFrame, labels: DataFrame, limit: int) -> np.ndarray:
 
     chosen = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("text", F.col("toxic").cast("long").alias("toxic"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.col("toxic").cast("long").alias("toxic"))
     found = rows.mapInArrow(run, "h long, y long").groupBy("h").agg(F.sum("y").alias("bad"), F.count(F.lit(1)).alias("n"))
     found = found.where("bad >= 3 AND bad > 0.8 * n").select("h").collect()
     return np.sort(np.array([r["h"] for r in found], np.int64).view(U))
@@ -146,13 +147,12 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, passes: int
     place = np.full(FEATURES, -1)
     place[use] = np.arange(use.sum())
     kept = [(place[at][use[at]], v[use[at]]) for at, v in rows]
-    x = np.zeros((len(rows), int(use.sum())), np.float32)
-    for i, (at, v) in enumerate(kept):
-        x[i, at] = v
-    w, g2 = np.zeros(x.shape[1]), np.full(x.shape[1], 1e-8)
+    row = np.repeat(np.arange(len(rows)), [len(at) for at, _ in kept])
+    at, v, size = np.concatenate([a for a, _ in kept]), np.concatenate([v for _, v in kept]), int(use.sum())
+    w, g2 = np.zeros(size), np.full(size, 1e-8)
     for _ in range(passes * 10):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (p - y) / len(y) + 1e-5 * w
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, v * w[at], len(rows)), -30, 30)))
+        g = np.bincount(at, v * (p - y)[row], size) / len(y) + 1e-5 * w
         g2 += g * g
         w -= 0.5 * g / np.sqrt(g2)
     weights[use] = w
@@ -181,7 +181,9 @@ def classify(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, train
         for r in counts:
             seen[r[fault]] += r["count"]
         models.append(expectation_maximisation(dict(seen))[0])
-    chosen = docs.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(trained)
+    hashes = F.xxhash64("doc_id")
+    last = docs.select(hashes.alias("h")).orderBy("h").limit(trained).agg(F.max("h")).first()[0]
+    chosen = docs.select("doc_id", "text").where(hashes <= F.lit(last)).orderBy(hashes, "doc_id", "text").limit(trained)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -194,9 +196,10 @@ def classify(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, train
                 y.append([model.get(p, 0.0) for model, p in zip(models, votes(m), strict=True)])
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.list_(pa.int64())), pa.array(val, pa.list_(pa.float64())), pa.array(y, pa.list_(pa.float64()))], names=["at", "v", "y"])
 
-    sample = chosen.select("text").mapInArrow(learn, "at array<long>, v array<double>, y array<double>").collect()
-    rows = [(np.array(r["at"]), np.concatenate([r["v"], np.ones(len(r["at"]) - DENSE - 1)])) for r in sample]
-    weights = [train(rows, np.array([r["y"][k] for r in sample])) for k in range(len(FAULTS))]
+    sample = chosen.select("text").mapInArrow(learn, "at array<long>, v array<double>, y array<double>").toArrow()
+    rows = [(at.values.to_numpy(), np.concatenate([v.values.to_numpy(), np.ones(len(at) - DENSE - 1)])) for at, v in zip(sample["at"], sample["v"], strict=True)]
+    y = np.array(sample["y"].to_pylist()).reshape(-1, len(FAULTS))
+    weights = [train(rows, y[:, k]) for k in range(len(FAULTS))]
     own = [c for c in docs.columns if c not in ("p_junk", "p_toxic", "accepted")]
     frame = docs.select(*own)
     schema = ", ".join(f"`{c}` {t}" for c, t in frame.dtypes)
@@ -205,9 +208,10 @@ def classify(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, train
         for b in batches:
             p = np.zeros((b.num_rows, len(FAULTS)))
             for i, (w, t) in enumerate(words_of(b.column(own.index("text")).to_pylist())):
-                at, v = features(*measures(w, t, bad))
-                for k in range(len(FAULTS)):
-                    p[i, k] = 1 / (1 + np.exp(-np.clip(weights[k][at] @ v, -30, 30)))
+                m, distinct = measures(w, t, bad)
+                at, v = features(m, distinct)
+                for k, pattern in enumerate(votes(m)):
+                    p[i, k] = max(1 / (1 + np.exp(-np.clip(weights[k][at] @ v, -30, 30))), models[k].get(pattern, 0.0))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p[:, :-1].max(axis=1)), pa.array(p[:, -1])], names=[*own, "p_junk", "p_toxic"])
 
     return frame.mapInArrow(score, f"{schema}, p_junk double, p_toxic double").withColumn("accepted", F.expr("p_junk <= 0.5 AND p_toxic <= 0.5"))

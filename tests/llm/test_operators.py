@@ -143,6 +143,14 @@ def test_classifier(spark):
     assert quality.classify(docs(spark, []), labels).count() == 0
 
 
+def test_faults_that_the_scorer_has_not_seen(spark):
+    clean = [(i, f"the quiet river {i} runs by the old mill and its {i} wheels") for i in range(60)]
+    toxic = [(100 + i, f"the quiet river {i} runs by you grobnik and its mill") for i in range(12)]
+    labels = spark.createDataFrame([(i, 1, int(i >= 100)) for i, _ in clean + toxic], "doc_id long, quality int, toxic int")
+    out = {r["doc_id"]: r["accepted"] for r in quality.classify(docs(spark, clean + toxic), labels, trained=1).collect()}
+    assert out == {i: i < 100 for i in out} and len(out) == 72
+
+
 def test_urls_and_overlaps_without_rows(spark):
     assert urlfilter.judge_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
     items = spark.createDataFrame([("i", "w1 w2 w3"), (None, None)], "item_id string, text string")
