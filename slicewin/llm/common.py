@@ -18,40 +18,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``. Where that is unset (tests, one machine), a
-    temporary folder of this machine is made once and kept in the session.
+    A cluster names it in ``spark.checkpoint.dir``. Where that is unset and Spark runs on one machine (tests), a
+    temporary folder of this machine is made once and kept in the session; elsewhere that is an error.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.conf.get("slicewin.shared.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("slicewin.shared.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='slicewin-')}"
         spark.conf.set("slicewin.shared.dir", found)
     return found.rstrip("/")
 
 
+def folder(spark: SparkSession, label: str) -> str:
+    """A new name in the shared folder."""
+    return f"{shared_dir(spark)}/slicewin/{label}-{uuid.uuid4().hex}"
+
+
+def store(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written as Parquet to ``path`` and read again."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def materialize(df: DataFrame, label: str = "part") -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again.
 
     This cuts the lineage: results survive the loss of executors, are computed once however often
     they are read, and keep column pruning and filter pushdown (which ``checkpoint()`` loses).
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/slicewin/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return store(df, folder(df.sparkSession, label))
 
 
 def discard(*frames: DataFrame) -> None:
     """Deletes what ``materialize`` wrote for these frames; call it when nothing reads them any more."""
     for df in frames:
         spark = df.sparkSession
-        conf = spark._jsc.hadoopConfiguration()
-        roots = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-        for root in roots:
+        for root in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             if "/slicewin/" in root:
                 path = spark._jvm.org.apache.hadoop.fs.Path(root)
-                path.getFileSystem(conf).delete(path, True)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def literal_table(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:

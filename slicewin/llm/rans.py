@@ -4,27 +4,41 @@ One frequency table, counted over all documents, serves all blocks. A block hold
 can be decoded alone: its ids are dealt in turn to LANES interleaved coders, whose end states are the
 checkpoint, and a checksum of the ids guards it. The files are Parquet files of such blocks, written
 by Spark's committer, so that a lost task leaves no half file; a block tells its part (in order of
-doc_id), the place of its first id in the part, its documents and their lengths.
-
-A block's payload: number of ids and of lanes (uint32, little-endian, as everything), the lanes'
-states (uint64), then the words (uint32) in the order in which the decoder asks for them.
+doc_id), the place of its first id in the part, its documents and their lengths. Beside the folder
+``blocks`` lie ``counts`` (id, n), from which the frequency table follows, and ``parts`` (part, base: ids
+of all parts before it): whoever has the folder can decode it.
+
+A block's payload, little-endian: numbers of ids, lanes and checkpoints (uint32); for each checkpoint the
+place of its id and of its word (uint32); the lanes' states at the start and at each checkpoint (uint64); then the
+words (uint32) in the order in which the decoder asks for them. Checkpoints stand every MARK steps, so that a
+long document's block can be decoded from several places at once.
+
+Texts are cut into pieces as the tokenizer's own byte-level pre-tokenizer cuts them, and each distinct piece is
+encoded by the library once and kept (at most KEPT pieces a worker). Whether the cut is the library's is asked of the
+library for each character that is met for the first time; a text with a character that differs, or with the
+string of an added token, is encoded whole, and so are all texts of tokenizers of another kind.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from slicewin.llm.common import materialize, table
+from slicewin.llm.common import discard, folder, materialize, store, table
 
 BITS, LANES, BLOCK = 20, 512, 1 << 16
+MARK, KEPT = 128, 1 << 19
 END = 0
+#: Fixed value: the pattern of the byte-level pre-tokenizer of the public vocabulary.
+PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 U = np.uint64
 LOW = U(1 << 31)
 
@@ -50,27 +64,37 @@ class Coder:
     def encode(self, ids: np.ndarray) -> bytes:
         n = len(ids)
         k = max(1, min(LANES, n // 64))
-        x, words, b = np.full(k, LOW, U), [], U(self.bits)
-        for at in range((n - 1) // k * k, -1, -k):
-            s = ids[at : at + k]
+        x, words, b, written, marks = np.full(k, LOW, U), [], U(self.bits), 0, []
+        for step in range((n - 1) // k, -1, -1):
+            s = ids[step * k : (step + 1) * k]
             f, y = self.f[s], x[: len(s)]
             full = y >= f << U(63 - self.bits)
             words.append((y[full] & U(0xFFFFFFFF)).astype("<u4"))
+            written += len(words[-1])
             y = np.where(full, y >> U(32), y)
             q = y // f
             x[: len(s)] = (q << b) + (y - q * f) + self.c[s]
-        return np.array([n, k], "<u4").tobytes() + x.astype("<u8").tobytes() + b"".join(w.tobytes() for w in reversed(words))
-
-    def decode(self, data: bytes) -> np.ndarray:
-        n, k = (int(v) for v in np.frombuffer(data, "<u4", 2))
-        x = np.frombuffer(data, "<u8", k, 8).copy()
-        words = np.frombuffer(data, "<u4", -1, 8 + 8 * k) if len(data) > 8 + 8 * k else np.zeros(0, "<u4")
-        out, p, b, mask = np.empty(n, np.uint32), 0, U(self.bits), U((1 << self.bits) - 1)
-        for at in range(0, n, k):
-            y = x[: min(k, n - at)]
+            if step and step % MARK == 0:
+                marks.append((step * k, written, x.copy()))
+        places = [v for at, w, _ in reversed(marks) for v in (at, written - w)]
+        states = [x, *[m[2] for m in reversed(marks)]]
+        return np.array([n, k, len(marks), *places], "<u4").tobytes() + np.concatenate(states).astype("<u8").tobytes() + b"".join(w.tobytes() for w in reversed(words))
+
+    def decode(self, data: bytes, mark: int = 0, until: int | None = None) -> np.ndarray:
+        """The ids from checkpoint ``mark`` (0: the start) up to checkpoint ``until`` (None: the end)."""
+        n, k, m = (int(v) for v in np.frombuffer(data, "<u4", 3))
+        places = np.concatenate([[0, 0], np.frombuffer(data, "<u4", 2 * m, 12)]).astype(np.int64).reshape(m + 1, 2)
+        head = 12 + 8 * m
+        x = np.frombuffer(data, "<u8", k, head + 8 * k * mark).copy()
+        words = np.frombuffer(data[head + 8 * k * (m + 1) :], "<u4")
+        first, p = (int(v) for v in places[mark])
+        last = n if until is None else int(places[until, 0])
+        out, b, mask = np.empty(last - first, np.uint32), U(self.bits), U((1 << self.bits) - 1)
+        for at in range(first, last, k):
+            y = x[: min(k, last - at)]
             slot = y & mask
             s = self.of[slot]
-            out[at : at + len(s)] = s
+            out[at - first : at - first + len(s)] = s
             y = self.f[s] * (y >> b) + slot - self.c[s]
             low = np.flatnonzero(y < LOW)
             y[low] = y[low] << U(32) | words[p : p + len(low)]
@@ -79,23 +103,89 @@ class Coder:
         return out
 
 
+class Pieces:
+    """Token ids of texts from the ids of their distinct pieces."""
+
+    held: dict[str, Pieces] = {}
+
+    def __init__(self, path: str):
+        import regex
+        from tokenizers import Tokenizer
+
+        self.coder = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            own = json.load(f)
+        cut = own.get("pre_tokenizer") or {}
+        plain = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space", True)
+        self.by_piece = bool(plain and not own.get("normalizer") and not own.get("truncation") and not own["model"].get("dropout") and all(not t["single_word"] and not t["lstrip"] and not t["rstrip"] for t in own["added_tokens"]))
+        self.cut, self.added = regex.compile(PIECE), [t["content"] for t in own["added_tokens"]]
+        self.same, self.odd = set(), set()
+        self.clear()
+
+    def clear(self) -> None:
+        self.place: dict[str, int] = {}
+        self.starts, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+
+    def learn(self, pieces: set[str]) -> None:
+        found = [e.ids for e in self.coder.encode_batch_fast(list(pieces), add_special_tokens=False)]
+        self.place.update(zip(pieces, range(len(self.place), len(self.place) + len(pieces)), strict=True))
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum([len(x) for x in found])])
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32)])
+
+    def judge(self, letters: set[str]) -> None:
+        """Puts each character with those that the library cuts alike, or with the odd ones."""
+        for c in letters:
+            probe = f"a{c}1{c}!{c} {c}b{c} 2 {c}{c} "
+            ours = [m.span() for m in self.cut.finditer(probe)]
+            (self.same if ours == [at for _, at in self.coder.pre_tokenizer.pre_tokenize_str(probe)] else self.odd).add(c)
+
+    def whole(self, text: str) -> bool:
+        letters = set(text)
+        if not letters <= self.same:
+            self.judge(letters - self.same - self.odd)
+        return not letters.isdisjoint(self.odd) or any(t in text for t in self.added)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if not self.by_piece:
+            return [np.array(e.ids, np.uint32) for e in self.coder.encode_batch_fast(texts, add_special_tokens=False)]
+        whole = [self.whole(t) for t in texts]
+        found = [[] if w else self.cut.findall(t) for t, w in zip(texts, whole, strict=True)]
+        flat = list(chain.from_iterable(found))
+        new = set(flat).difference(self.place)
+        if new and len(self.place) + len(new) > KEPT:
+            self.clear()
+            new = set(flat)
+        if new:
+            self.learn(new)
+        at = np.fromiter(map(self.place.__getitem__, flat), np.int64, len(flat))
+        begin, size = self.starts[at], self.starts[at + 1] - self.starts[at]
+        ends = np.cumsum(size)
+        ids = self.ids[np.repeat(begin - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+        cuts = np.concatenate([[0], ends])[np.cumsum([0, *map(len, found)])]
+        return [np.array(self.coder.encode(t, add_special_tokens=False).ids, np.uint32) if w else ids[cuts[i] : cuts[i + 1]] for i, (t, w) in enumerate(zip(texts, whole, strict=True))]
+
+
+def pieces(path: str) -> Pieces:
+    """One for each file and worker."""
+    if path not in Pieces.held:
+        Pieces.held[path] = Pieces(path)
+    return Pieces.held[path]
+
+
 def tokenize(docs: DataFrame, tokenizer: str, id_col: str, text_col: str) -> DataFrame:
     """(part, at, doc_id, ids) in ascending doc_id order; at: ids of the part before the document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from pyspark import TaskContext
-        from tokenizers import Tokenizer
 
-        coder, part, at = Tokenizer.from_file(tokenizer), TaskContext.get().partitionId(), 0
+        coder, part, at = pieces(tokenizer), TaskContext.get().partitionId(), 0
         for b in batches:
-            texts = b.column(1)
             for i in range(0, b.num_rows, 64):
-                ids = [np.array([*e.ids, END], "<u4") for e in coder.encode_batch([t or "" for t in texts[i : i + 64].to_pylist()], add_special_tokens=False)]
+                ids = [np.append(x, U(END)) for x in coder.encode([t or "" for t in b.column(1)[i : i + 64].to_pylist()])]
                 starts = at + np.concatenate([[0], np.cumsum([len(x) for x in ids])])
                 at = int(starts[-1])
-                size = max(int(x.max()) for x in ids)
-                small = [x.astype("<u2" if size < 1 << 16 else "<u4").tobytes() for x in ids]
+                small = [x.astype("<u2" if int(x.max()) < 1 << 16 else "<u4").tobytes() for x in ids]
                 n = len(ids)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([part] * n, pa.int32()), pa.array(starts[:-1], pa.int64()), b.column(0)[i : i + 64], pa.array([len(x) for x in ids], pa.int64()), pa.array(small, pa.binary())],
@@ -111,23 +201,30 @@ def unpack(ids: bytes, n: int) -> np.ndarray:
     return np.frombuffer(ids, "<u2" if len(ids) == 2 * n else "<u4")
 
 
-def count_ids(tokens: DataFrame, vocabulary: int) -> np.ndarray:
-    """Occurrences of each id over all documents; as many numbers as the vocabulary has."""
+def count_ids(tokens: DataFrame, vocabulary: int) -> DataFrame:
+    """(id, n): occurrences of each id over all documents; at most as many rows as the vocabulary has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocabulary, np.int64)
         for b in batches:
             for x, n in zip(b.column(1), b.column(0).to_pylist(), strict=True):
-                total += np.bincount(unpack(x.as_py(), n), minlength=vocabulary) if n > 4096 else 0
-                if n <= 4096:
-                    np.add.at(total, unpack(x.as_py(), n), 1)
+                ids = unpack(x.as_py(), n)
+                if n > 4096:
+                    total += np.bincount(ids, minlength=vocabulary)
+                else:
+                    np.add.at(total, ids, 1)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["id", "n"])
 
-    out = np.zeros(vocabulary, np.int64)
-    for r in tokens.select("n", "ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
-        out[r["id"]] = r["n"]
-    return out
+    return tokens.select("n", "ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+
+
+def table_of(counts: DataFrame) -> np.ndarray:
+    """The frequency table; all that comes to the driver, of the vocabulary's size."""
+    found = counts.toArrow()
+    out = np.zeros(int(found["id"].to_numpy().max()) + 1 if len(found) else 0, np.int64)
+    out[found["id"].to_numpy()] = found["n"].to_numpy()
+    return frequencies(out)
 
 
 def encode_blocks(tokens: DataFrame, freq: np.ndarray) -> DataFrame:
@@ -191,25 +288,38 @@ def decode_blocks(blocks: DataFrame, freq: np.ndarray) -> DataFrame:
     return blocks.mapInArrow(run, f"part int, at long, doc_id {kind}, n_tokens long, ids_crc32 long")
 
 
-def write_and_read(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of each row, from the files that were written of all rows.
+def write_files(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Writes ``path``/blocks, counts and parts for the token ids of all rows, in ascending order of the id.
 
     A null or empty text is the end id alone. Null ids come first; repeated rows follow one another,
-    rows with equal ids in order of text. Other columns are not read; an empty table gives no rows.
-    Only the table of frequencies, of the vocabulary's size, comes to the driver.
+    rows with equal ids in order of text; a very long text is one block with checkpoints. Other columns are not
+    read; an empty table gives files without rows.
     """
     from tokenizers import Tokenizer
 
     vocabulary = Tokenizer.from_file(tokenizer).get_vocab_size(with_added_tokens=True)
     tokens = materialize(tokenize(docs, tokenizer, id_col, text_col), "ids")
-    freq = frequencies(count_ids(tokens, vocabulary))
-    files = materialize(encode_blocks(tokens, freq), "rans")
+    counts = store(count_ids(tokens, vocabulary).coalesce(1), f"{path}/counts")
     parts = tokens.groupBy("part").agg(F.sum("n").alias("n"))
-    parts = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
-    rows = decode_blocks(files, freq).join(parts, "part")
+    store(parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base")), f"{path}/parts")
+    store(encode_blocks(tokens, table_of(counts)), f"{path}/blocks")
+    discard(tokens)
+
+
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of each document, from the files alone."""
+    counts, parts, blocks = (spark.read.parquet(f"{path}/{name}") for name in ("counts", "parts", "blocks"))
+    rows = decode_blocks(blocks, table_of(counts)).join(parts, "part")
     return rows.select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
+def write_and_read(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """What ``read_files`` gives of the files that ``write_files`` has written to the shared folder."""
+    path = folder(docs.sparkSession, "tokens")
+    write_files(docs, tokenizer, path, id_col, text_col)
+    return read_files(docs.sparkSession, path)
+
+
 def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
