@@ -60,6 +60,14 @@ def discard(*frames: DataFrame) -> None:
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def broadcast_small(df: DataFrame, row_bytes: int, limit: int = 32 << 20) -> DataFrame:
+    """``df`` marked for broadcast if its counted rows of ``row_bytes`` stay within ``limit``; else as it is, for a shuffle.
+
+    ``df`` is counted, so it should be read from a written table.
+    """
+    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+
+
 def literal_table(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
     """A small table of the driver's as a literal in the plan; ``ddl`` as in ``'a int, b long'``.
 

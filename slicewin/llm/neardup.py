@@ -2,33 +2,38 @@
 
 A document is its set of hashed word shingles; its sketch is the SKETCH smallest hashes. Documents of
 one set are one node. Values of the sketches form inverted lists; two sets of similarity 0.8 share at
-least SHARED of their retained values (five standard deviations below the mean), so it is enough that
+least SHARED of their retained values (but for a chance of 6e-7), so it is enough that
 each enters the lists of its rarest ``size - SHARED + 1`` values, in an order that is the same for
-all. Rarity is read from a histogram of BUCKETS counts over all sketches, a size that is fixed.
-
-Rounds keep the lists from giving all pairs. First each node is compared with one head of each of its
-lists, the node with the fewest rarer values; then with each list's smallest node, unless both are connected
-by then. At last the lists give only pairs that are not connected yet. Pairs are filtered by the sketch of
+all. Rarity is read from a histogram of BUCKETS counts over all sketches, a size that is fixed. Sets that are
+not larger than a sketch are found without that chance; with ``sketch=None`` all sets are their own sketches
+and the whole search is exact.
+
+Rounds keep the lists from giving all pairs. In each of ROUNDS rounds every list has a head, and each node
+is compared with the head of most of its lists; after a round only lists that hold nodes of several components
+go on. At last these give all pairs that are not connected yet. Pairs are left out where the sizes, the places in
+the lists or the marks (a bit for each retained value) show that too little is shared, filtered by the sketch of
 their union and confirmed on the full sets, which the sketches are where a set has no more than SKETCH
 values; components come from repeated joins of tables.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from slicewin.llm.common import materialize, table
+from slicewin.llm.common import broadcast_small, discard, materialize, table
 from slicewin.llm.textscan import SPACED, Words, grams, stretches
 
-SKETCH, SHARED = 256, 173
+SKETCH, SHARED = 128, 79
 BUCKETS = 1 << 16
+ROUNDS = 3
 #: Longs of a set of marks: a bit for each retained value, by its last bits.
-MARKS = 8
+MARKS = 4
 
 
 def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -46,20 +51,17 @@ def lists(values: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([*values, np.zeros(0, np.int64)]), pa.int64()))
 
 
-def sketches(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
+def sketches(docs: DataFrame, k: int, sketch: int | None, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, sig, small, marks = [], [], [], []
             for s in shingle_sets(b.column(1), k):
                 n.append(len(s))
-                sig.append(s.tobytes())
-                small.append(s[:SKETCH])
+                sig.append(hashlib.md5(s.tobytes()).digest())
+                small.append(s[:sketch])
                 bits = np.zeros(64 * MARKS, bool)
                 bits[small[-1] & (64 * MARKS - 1)] = True
                 marks.append(np.packbits(bits).view(np.int64))
-            import hashlib
-
-            sig = [hashlib.md5(x).digest() for x in sig]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), lists(small), lists(marks)], names=["doc_id", "n", "sig", "sketch", "marks"])
 
     kind = dict(docs.dtypes)[id_col]
@@ -83,7 +85,19 @@ def rarity(nodes: DataFrame) -> np.ndarray:
     return out
 
 
-def inverted(nodes: DataFrame, counts: np.ndarray) -> DataFrame:
+def required(na: Column, nb: Column, percent: int, sketch: int | None) -> Column:
+    """The least number of retained values that sets of these sizes share if they are similar."""
+    whole = F.ceil((na + nb) * percent / (100 + percent))
+    if sketch is None:
+        return whole
+    return F.when(F.greatest(na, nb) <= sketch, whole).otherwise(F.least(F.lit(SHARED), F.ceil(F.greatest(na, nb) * percent / 100)))
+
+
+def compatible(na: Column, nb: Column, percent: int) -> Column:
+    return 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
+
+
+def inverted(nodes: DataFrame, counts: np.ndarray, percent: int, sketch: int | None) -> DataFrame:
     """(value, node, n, left): left counts the values from this on, in the order of rarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,7 +108,8 @@ def inverted(nodes: DataFrame, counts: np.ndarray) -> DataFrame:
             for i in range(b.num_rows):
                 v = flat[at[i] : at[i + 1]]
                 s = len(v)
-                take = s - min(SHARED, -(-4 * s // 5)) + 1
+                least = -(-percent * s // 100)
+                take = s - (least if sketch is None else min(SHARED, least)) + 1
                 v = v[np.lexsort((v, counts[v & (BUCKETS - 1)]))][:take]
                 rows.append(np.full(take, i))
                 value.append(v)
@@ -106,30 +121,72 @@ def inverted(nodes: DataFrame, counts: np.ndarray) -> DataFrame:
     return nodes.select("node", "n", "sketch").mapInArrow(run, f"value long, node {dict(nodes.dtypes)['node']}, n long, left int")
 
 
-def shared_lists(index: DataFrame) -> DataFrame:
-    """The rows of the lists with two nodes or more, with the list's heads: central (fewest rarer values) and smallest."""
-    heads = index.groupBy("value").agg(F.max(F.struct("left", "node"))["node"].alias("central"), F.min("node").alias("smallest"), F.count(F.lit(1)).alias("m"))
-    return index.join(heads.where("m > 1").drop("m"), "value")
+def alive(rows: DataFrame) -> DataFrame:
+    """The rows (value, node, n, left, leader) of lists in which several components are."""
+    several = rows.groupBy("value").agg(F.min("leader").alias("lo"), F.max("leader").alias("hi")).where("lo <> hi").select("value")
+    return rows.join(several, "value")
 
 
-def led(index: DataFrame, links: DataFrame) -> DataFrame:
-    """``index`` with each node's leader: the smallest node that ``links`` connect it with."""
-    return index.join(components(links).withColumnRenamed("component", "leader"), "node", "left").withColumn("leader", F.coalesce("leader", "node"))
+def led(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """``rows`` with each node's leader: the smallest node that ``links`` connect it with."""
+    found = components(links)
+    return rows.drop("leader").join(found.withColumnRenamed("component", "leader"), "node", "left").withColumn("leader", F.coalesce("leader", "node"))
 
 
-def confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough: by the union's sketch, then by the full sets."""
-    pairs = pairs.join(nodes.select(F.col("node").alias("a"), F.col("sketch").alias("x"), F.col("n").alias("na")), "a")
-    pairs = pairs.join(nodes.select(F.col("node").alias("b"), F.col("sketch").alias("y"), F.col("n").alias("nb")), "b")
-    whole = (F.col("na") <= SKETCH) & (F.col("nb") <= SKETCH)
-    common = F.size(F.array_intersect("x", "y"))
-    both = F.size(F.array_intersect(F.slice(F.array_sort(F.array_union("x", "y")), 1, SKETCH), F.array_intersect("x", "y")))
-    need = F.least(F.lit(SHARED), F.ceil(F.least("na", "nb") * percent / 100))
-    similar = F.when(whole, 100 * common >= percent * (F.col("na") + F.col("nb") - common)).otherwise(both >= need)
-    compatible = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    close = materialize(pairs.where(compatible).where(similar).select("a", "b", whole.alias("whole")), "close")
-    sure, close = close.where("whole").select("a", "b"), close.where("NOT whole").select("a", "b")
-    wanted = close.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+def untried(pairs: DataFrame, tried: DataFrame | None) -> DataFrame:
+    """``pairs`` (a, b, ...) but for those compared before, in either order."""
+    if tried is None:
+        return pairs
+    done = tried.union(tried.select("b", "a")).distinct()
+    return pairs.join(done, ["a", "b"], "left_anti")
+
+
+def with_heads(rows: DataFrame, turn: int, percent: int, sketch: int | None, tried: DataFrame | None) -> DataFrame:
+    """(a, b): each node with the head of most of those of its lists in which the two may be similar.
+
+    At first the head of a list is the node with the fewest rarer values, later one by a hash.
+    """
+    row = F.struct("node", "n", "left", "leader")
+    head = F.max_by(row, F.struct("left", "node")) if turn == 0 else F.min_by(row, F.xxhash64("node", F.lit(turn)))
+    x = rows.join(rows.groupBy("value").agg(head.alias("h")), "value").where(F.col("leader") != F.col("h.leader"))
+    x = x.where(compatible(F.col("n"), F.col("h.n"), percent) & (F.least("left", F.col("h.left")) >= required(F.col("n"), F.col("h.n"), percent, sketch)))
+    each = untried(x.groupBy(F.col("node").alias("a"), F.col("h.node").alias("b")).agg(F.count(F.lit(1)).alias("c")), tried)
+    return each.groupBy("a").agg(F.max(F.struct("c", "b"))["b"].alias("b"))
+
+
+def both_sides(pairs: DataFrame, values: DataFrame, name: str) -> DataFrame:
+    """``pairs`` (a, b) with x and y, the column ``name`` of their nodes: only what pairs need is shuffled, by pair."""
+    sides = []
+    for own in ("a", "b"):
+        keyed = broadcast_small(pairs.select(F.col(own).alias("node"), "a", "b"), 48)
+        sides.append(values.select("node", name).join(keyed, "node").select("a", "b", F.lit(own == "a").alias("first"), name))
+    mine = F.first(F.when(F.col("first"), F.col(name)), ignorenulls=True), F.first(F.when(~F.col("first"), F.col(name)), ignorenulls=True)
+    return sides[0].unionByName(sides[1]).groupBy("a", "b").agg(mine[0].alias("x"), mine[1].alias("y"))
+
+
+def confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int, sketch: int | None, id_col: str, text_col: str) -> DataFrame:
+    """The written ``pairs`` (a, b) whose sets are similar enough: by marks, by the union's sketch, then by the full sets."""
+    slim = nodes.select("node", F.struct("n", "marks").alias("slim"))
+    both = both_sides(pairs, slim, "slim")
+    na, nb = F.col("x.n"), F.col("y.n")
+    size = (lambda n: n) if sketch is None else (lambda n: F.least(n, F.lit(sketch)))
+    lone = [sum(F.bit_count(F.get(p, F.lit(i)).bitwiseAND(F.bitwise_not(F.get(q, F.lit(i))))) for i in range(MARKS)) for p, q in ((F.col("x.marks"), F.col("y.marks")), (F.col("y.marks"), F.col("x.marks")))]
+    need = required(na, nb, percent, sketch)
+    near = materialize(both.where(compatible(na, nb, percent) & (size(na) - lone[0] >= need) & (size(nb) - lone[1] >= need)).select("a", "b"), "near")
+    both = both_sides(near, nodes.select("node", F.struct("n", "sketch").alias("own")), "own")
+    x, y = F.col("x.sketch"), F.col("y.sketch")
+    common = F.size(F.array_intersect(x, y))
+    whole = F.lit(True) if sketch is None else (na <= sketch) & (nb <= sketch)
+    similar = 100 * common >= percent * (na + nb - common)
+    if sketch is not None:
+        met = F.size(F.array_intersect(F.slice(F.array_sort(F.array_union(x, y)), 1, sketch), F.array_intersect(x, y)))
+        similar = F.when(whole, similar).otherwise(met >= F.least(F.lit(SHARED), F.ceil(F.least(na, nb) * percent / 100)))
+    close = materialize(both.where(similar).select("a", "b", whole.alias("whole")), "close")
+    discard(near)
+    if sketch is None:
+        return close.select("a", "b")
+    sure, rest = close.where("whole").select("a", "b"), close.where("NOT whole").select("a", "b")
+    wanted = broadcast_small(materialize(rest.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted"), 24)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -137,12 +194,13 @@ def confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent
 
     kind = dict(nodes.dtypes)["node"]
     texts = docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text")).join(wanted, "node", "left_semi")
-    full = materialize(texts.mapInArrow(run, f"node {kind}, full array<long>"), "sets")
-    close = close.join(full.select(F.col("node").alias("a"), F.col("full").alias("x")), "a")
-    close = close.join(full.select(F.col("node").alias("b"), F.col("full").alias("y")), "b")
+    full = texts.mapInArrow(run, f"node {kind}, full array<long>")
+    both = both_sides(rest, full, "full")
     common = F.size(F.array_intersect("x", "y"))
     union = F.size("x") + F.size("y") - common
-    return sure.union(close.where((100 * common >= percent * union) & (union > 0)).select("a", "b"))
+    out = materialize(sure.union(both.where((100 * common >= percent * union) & (union > 0)).select("a", "b")), "links")
+    discard(close, wanted)
+    return out
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -155,44 +213,54 @@ def components(links: DataFrame) -> DataFrame:
         jump = label.select(F.col("node").alias("new"), F.col("component").alias("up"))
         step = step.join(jump, "new", "left").select("node", F.coalesce("up", "new").alias("component"), "old")
         step = materialize(step, "label")
+        discard(label)
         label = step.select("node", "component")
         if step.where("component <> old").isEmpty():
+            discard(edges)
             return label
 
 
-def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", sketch: int | None = SKETCH) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs``.
 
     Words are runs of other than space and \\t to \\r, with A-Z lower-cased; a set is the distinct
     k-word shingles, or the whole sequence if shorter. Null, empty and wordless texts have no set and
-    are linked with nothing. Rows of one doc_id are one node: if one of them is linked, all are; of
-    fully repeated rows each is returned. Rows without doc_id stand alone (component null, kept).
-    Other columns are not read. An empty table gives no rows.
+    are linked with nothing. A very long text is one set of 8 bytes a shingle. Rows of one doc_id are one node: if one of them is
+    linked, all are; of fully repeated rows each is returned. Rows without doc_id stand alone (component null, kept).
+    Other columns are not read. An empty table gives no rows. ``sketch`` is SKETCH, or None for an exact search.
     """
+    if sketch not in (None, SKETCH):
+        raise ValueError(f"sketch is {SKETCH} or None")
     docs = docs.select(F.col(id_col), F.col(text_col))
-    rows = materialize(sketches(docs, k, id_col, text_col), "sketch")
-    used = rows.where("n > 0 AND doc_id IS NOT NULL")
+    found = materialize(sketches(docs, k, sketch, id_col, text_col), "sketch")
+    used = found.where("n > 0 AND doc_id IS NOT NULL")
     nodes = materialize(used.groupBy("sig").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("marks").alias("marks")), "nodes")
-    index = materialize(shared_lists(inverted(nodes, rarity(nodes))), "lists")
-    first = index.where("node <> central").select(F.col("node").alias("a"), F.col("central").alias("b")).distinct()
-    firm = materialize(confirm(first, nodes, docs, k, percent, id_col, text_col), "stars")
-    held = led(index.select("value", "node", "smallest"), firm)
-    ends = held.join(held.where("node = smallest").select("value", F.col("leader").alias("other")), "value").where("leader <> other")
-    second = ends.select(F.col("node").alias("a"), F.col("smallest").alias("b")).distinct()
-    firm = materialize(firm.union(confirm(second, nodes, docs, k, percent, id_col, text_col)), "stars")
-    held = materialize(led(index, firm).join(nodes.select("node", "marks"), "node"), "led")
-    x = held.select("value", F.col("node").alias("a"), F.col("n").alias("na"), F.col("leader").alias("la"), F.col("left").alias("ra"), F.col("marks").alias("ma"))
-    y = held.select("value", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("leader").alias("lb"), F.col("left").alias("rb"), F.col("marks").alias("mb"))
-    near = (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    # Similar sets share this many retained values; they share no more than come from this one on, nor than those whose marks the other has.
-    need = F.when(F.greatest("na", "nb") <= SKETCH, F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent))).otherwise(F.least(F.lit(SHARED), F.ceil(F.greatest("na", "nb") * percent / 100)))
-    lone = [sum(F.bit_count(F.get(p, F.lit(i)).bitwiseAND(F.bitwise_not(F.get(q, F.lit(i))))) for i in range(MARKS)) for p, q in (("ma", "mb"), ("mb", "ma"))]
-    enough = (F.least("ra", "rb") >= need) & (F.least("na", F.lit(SKETCH)) - lone[0] >= need) & (F.least("nb", F.lit(SKETCH)) - lone[1] >= need)
-    pairs = x.join(y, "value").where(near & enough).select("a", "b").distinct()
-    more = confirm(pairs, nodes, docs, k, percent, id_col, text_col)
-    copies = used.select("sig", F.col("doc_id").alias("a")).join(nodes.select("sig", F.col("node").alias("b")), "sig").where("a <> b").select("a", "b")
-    found = components(firm.union(more).union(copies))
-    out = rows.select("doc_id", F.col("n").alias("n_shingles")).join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    rows = materialize(found.select("doc_id", "n", "sig"), "rows")
+    discard(found)
+    index = inverted(nodes, rarity(nodes), percent, sketch).withColumn("leader", F.col("node"))
+    live = materialize(alive(index), "lists")
+    links, tried = None, None
+    for turn in range(ROUNDS):
+        pairs = materialize(with_heads(live, turn, percent, sketch, tried), "pairs")
+        fresh = confirm(pairs, nodes, docs, k, percent, sketch, id_col, text_col)
+        links, tried = (fresh, pairs) if turn == 0 else (links.union(fresh), tried.union(pairs))
+        if fresh.isEmpty():
+            break
+        next_ = materialize(alive(led(live, links)), "lists")
+        discard(live)
+        live = next_
+    x = live.select("value", F.col("node").alias("a"), F.col("n").alias("na"), F.col("leader").alias("la"), F.col("left").alias("ra"))
+    y = live.select("value", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("leader").alias("lb"), F.col("left").alias("rb"))
+    # Similar sets share no more than what comes from this value on.
+    near = (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & compatible(F.col("na"), F.col("nb"), percent)
+    enough = F.least("ra", "rb") >= required(F.col("na"), F.col("nb"), percent, sketch)
+    pairs = materialize(untried(x.join(y, "value").where(near & enough).select("a", "b").distinct(), tried), "pairs")
+    more = confirm(pairs, nodes, docs, k, percent, sketch, id_col, text_col)
+    discard(live)
+    copies = rows.where("n > 0 AND doc_id IS NOT NULL").select("sig", F.col("doc_id").alias("a")).join(nodes.select("sig", F.col("node").alias("b")), "sig").where("a <> b").select("a", "b")
+    part = components(links.union(more).union(copies))
+    discard(nodes)
+    out = rows.select("doc_id", F.col("n").alias("n_shingles")).join(part.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (component.isNull() | (component == F.col("doc_id"))).alias("kept"))
 
