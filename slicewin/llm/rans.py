@@ -13,32 +13,26 @@ place of its id and of its word (uint32); the lanes' states at the start and at
 words (uint32) in the order in which the decoder asks for them. Checkpoints stand every MARK steps, so that a
 long document's block can be decoded from several places at once.
 
-Texts are cut into pieces as the tokenizer's own byte-level pre-tokenizer cuts them, and each distinct piece is
-encoded by the library once and kept (at most KEPT pieces a worker). Whether the cut is the library's is asked of the
-library for each character that is met for the first time; a text with a character that differs, or with the
-string of an added token, is encoded whole, and so are all texts of tokenizers of another kind.
+Token ids come from the tokenizers library, once for each distinct piece of text (``bytepieces``).
 """
 
 from __future__ import annotations
 
-import json
 import os
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from slicewin.llm.bytepieces import Encoder
 from slicewin.llm.common import discard, folder, materialize, store, table
 
 BITS, LANES, BLOCK = 20, 512, 1 << 16
-MARK, KEPT = 128, 1 << 19
+MARK = 128
 END = 0
-#: Fixed value: the pattern of the byte-level pre-tokenizer of the public vocabulary.
-PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 U = np.uint64
 LOW = U(1 << 31)
 
@@ -103,75 +97,6 @@ class Coder:
         return out
 
 
-class Pieces:
-    """Token ids of texts from the ids of their distinct pieces."""
-
-    held: dict[str, Pieces] = {}
-
-    def __init__(self, path: str):
-        import regex
-        from tokenizers import Tokenizer
-
-        self.coder = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as f:
-            own = json.load(f)
-        cut = own.get("pre_tokenizer") or {}
-        plain = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space", True)
-        self.by_piece = bool(plain and not own.get("normalizer") and not own.get("truncation") and not own["model"].get("dropout") and all(not t["single_word"] and not t["lstrip"] and not t["rstrip"] for t in own["added_tokens"]))
-        self.cut, self.added = regex.compile(PIECE), [t["content"] for t in own["added_tokens"]]
-        self.same, self.odd = set(), set()
-        self.clear()
-
-    def clear(self) -> None:
-        self.place: dict[str, int] = {}
-        self.starts, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
-
-    def learn(self, pieces: set[str]) -> None:
-        found = [e.ids for e in self.coder.encode_batch_fast(list(pieces), add_special_tokens=False)]
-        self.place.update(zip(pieces, range(len(self.place), len(self.place) + len(pieces)), strict=True))
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum([len(x) for x in found])])
-        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32)])
-
-    def judge(self, letters: set[str]) -> None:
-        """Puts each character with those that the library cuts alike, or with the odd ones."""
-        for c in letters:
-            probe = f"a{c}1{c}!{c} {c}b{c} 2 {c}{c} "
-            ours = [m.span() for m in self.cut.finditer(probe)]
-            (self.same if ours == [at for _, at in self.coder.pre_tokenizer.pre_tokenize_str(probe)] else self.odd).add(c)
-
-    def whole(self, text: str) -> bool:
-        letters = set(text)
-        if not letters <= self.same:
-            self.judge(letters - self.same - self.odd)
-        return not letters.isdisjoint(self.odd) or any(t in text for t in self.added)
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if not self.by_piece:
-            return [np.array(e.ids, np.uint32) for e in self.coder.encode_batch_fast(texts, add_special_tokens=False)]
-        whole = [self.whole(t) for t in texts]
-        found = [[] if w else self.cut.findall(t) for t, w in zip(texts, whole, strict=True)]
-        flat = list(chain.from_iterable(found))
-        new = set(flat).difference(self.place)
-        if new and len(self.place) + len(new) > KEPT:
-            self.clear()
-            new = set(flat)
-        if new:
-            self.learn(new)
-        at = np.fromiter(map(self.place.__getitem__, flat), np.int64, len(flat))
-        begin, size = self.starts[at], self.starts[at + 1] - self.starts[at]
-        ends = np.cumsum(size)
-        ids = self.ids[np.repeat(begin - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
-        cuts = np.concatenate([[0], ends])[np.cumsum([0, *map(len, found)])]
-        return [np.array(self.coder.encode(t, add_special_tokens=False).ids, np.uint32) if w else ids[cuts[i] : cuts[i + 1]] for i, (t, w) in enumerate(zip(texts, whole, strict=True))]
-
-
-def pieces(path: str) -> Pieces:
-    """One for each file and worker."""
-    if path not in Pieces.held:
-        Pieces.held[path] = Pieces(path)
-    return Pieces.held[path]
-
-
 def tokenize(docs: DataFrame, tokenizer: str, id_col: str, text_col: str) -> DataFrame:
     """(part, at, doc_id, ids) in ascending doc_id order; at: ids of the part before the document."""
 
@@ -179,16 +104,16 @@ def tokenize(docs: DataFrame, tokenizer: str, id_col: str, text_col: str) -> Dat
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from pyspark import TaskContext
 
-        coder, part, at = pieces(tokenizer), TaskContext.get().partitionId(), 0
+        coder, part, at = Encoder.of(tokenizer), TaskContext.get().partitionId(), 0
         for b in batches:
-            for i in range(0, b.num_rows, 64):
-                ids = [np.append(x, U(END)) for x in coder.encode([t or "" for t in b.column(1)[i : i + 64].to_pylist()])]
+            for i in range(0, b.num_rows, 512):
+                ids = [np.append(x, U(END)) for x in coder.encode(b.column(1)[i : i + 512])]
                 starts = at + np.concatenate([[0], np.cumsum([len(x) for x in ids])])
                 at = int(starts[-1])
                 small = [x.astype("<u2" if int(x.max()) < 1 << 16 else "<u4").tobytes() for x in ids]
                 n = len(ids)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([part] * n, pa.int32()), pa.array(starts[:-1], pa.int64()), b.column(0)[i : i + 64], pa.array([len(x) for x in ids], pa.int64()), pa.array(small, pa.binary())],
+                    [pa.array([part] * n, pa.int32()), pa.array(starts[:-1], pa.int64()), b.column(0)[i : i + 512], pa.array([len(x) for x in ids], pa.int64()), pa.array(small, pa.binary())],
                     names=["part", "at", "doc_id", "n", "ids"],
                 )
 
