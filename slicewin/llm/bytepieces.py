@@ -33,7 +33,7 @@ _powers: dict[str, np.ndarray] = {}
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers["up"]) < n:
-        up, down = np.full(max(n, 1 << 21), _STEP), np.full(max(n, 1 << 21), U(pow(int(_STEP), -1, 2**64)))
+        up, down = np.full(max(n, 1 << 19), _STEP), np.full(max(n, 1 << 19), U(pow(int(_STEP), -1, 2**64)))
         up[0] = down[0] = 1
         _powers["up"], _powers["down"] = np.multiply.accumulate(up), np.multiply.accumulate(down)
     return _powers["up"][:n], _powers["down"][:n]
@@ -66,7 +66,7 @@ class Encoder:
 
     def clear(self) -> None:
         self.keys, self.checks, self.places = np.zeros(2 * KEPT, U), np.zeros(2 * KEPT, U), np.full(2 * KEPT, -1, np.int32)
-        self.starts, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+        self.starts, self.ids, self.n = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.uint32), 0
 
     def kind(self, c: str) -> int:
         for kind, before in ((LETTER, "a"), (NUMBER, "1"), (OTHER, "!")):
@@ -146,8 +146,14 @@ class Encoder:
         rest = [i for i in range(len(pieces)) if i not in held]
         for i, e in zip(rest, self.coder.encode_batch_fast([pieces[i].decode() for i in rest], add_special_tokens=False), strict=True):
             found[i] = e.ids
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum([len(x) for x in found])])
-        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32)])
+        first, more = int(self.starts[self.n]), np.cumsum([len(x) for x in found])
+        total, n = first + int(more[-1]), self.n + len(found)
+        if total > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(2 * total - len(self.ids), np.uint32)])
+        if n >= len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros(2 * n - len(self.starts), np.int64)])
+        self.ids[first:total] = np.fromiter(chain.from_iterable(found), np.uint32, total - first)
+        self.starts[self.n + 1 : n + 1], self.n = first + more, n
 
     def look_up(self, key: np.ndarray, check: np.ndarray) -> np.ndarray:
         """The places of pieces, -1 for those not kept."""
@@ -187,16 +193,16 @@ class Encoder:
         new = np.flatnonzero(place < 0)
         if len(new):
             _, one, back = np.unique(np.stack([key[new], check[new]], axis=1), axis=0, return_index=True, return_inverse=True) if len(new) < 64 else self.distinct(key[new], check[new])
-            if len(self.starts) + len(one) > KEPT:
+            if self.n + len(one) > KEPT:
                 self.clear()
                 if len(new) < len(key):
                     return self.stretch(data, offsets)
-            base = len(self.starts) - 1
+            base = self.n
             raw = data.tobytes()
             self.learn([raw[a:b] for a, b in zip(starts[new[one]].tolist(), ends[new[one]].tolist(), strict=True)])
             place[new] = base + back.ravel()
             short = np.flatnonzero((ends - starts)[new[one]] <= LONG)
-            if len(self.starts) <= KEPT:
+            if self.n <= KEPT:
                 self.keep(key[new[one[short]]], check[new[one[short]]], base + short)
         begin = self.starts[place]
         length = self.starts[place + 1] - begin
@@ -204,7 +210,7 @@ class Encoder:
         total = int(stop[-1]) if len(stop) else 0
         ids = self.ids[np.repeat(begin - stop + length, length) + np.arange(total)]
         bound = np.concatenate([[0], stop])[np.searchsorted(starts, offsets)]
-        if len(self.starts) > KEPT:
+        if self.n > KEPT:
             self.clear()
         return [ids[a:b] for a, b in zip(bound[:-1], bound[1:], strict=True)]
 

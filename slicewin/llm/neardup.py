@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from slicewin.llm.common import broadcast_small, discard, materialize, table
-from slicewin.llm.textscan import SPACED, Words, grams, stretches
+from slicewin.llm.textscan import SPACED, Words, grams, portions, stretches
 
 SKETCH, SHARED = 128, 79
 BUCKETS = 1 << 16
@@ -53,7 +53,7 @@ def lists(values: list[np.ndarray]) -> pa.Array:
 
 def sketches(docs: DataFrame, k: int, sketch: int | None, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in portions(batches):
             n, sig, small, marks = [], [], [], []
             for s in shingle_sets(b.column(1), k):
                 n.append(len(s))
@@ -101,10 +101,9 @@ def inverted(nodes: DataFrame, counts: np.ndarray, percent: int, sketch: int | N
     """(value, node, n, left): left counts the values from this on, in the order of rarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in portions(batches):
             rows, value, left = [], [], []
-            flat, at = b.column(2).flatten().to_numpy(zero_copy_only=False), b.column(2).offsets.to_numpy()
-            at = at - at[0]
+            flat, at = b.column(2).flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(b.column(2).value_lengths().to_numpy(zero_copy_only=False))])
             for i in range(b.num_rows):
                 v = flat[at[i] : at[i + 1]]
                 s = len(v)
@@ -189,7 +188,7 @@ def confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent
     wanted = broadcast_small(materialize(rest.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted"), 24)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in portions(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), lists(list(shingle_sets(b.column(1), k)))], names=["node", "full"])
 
     kind = dict(nodes.dtypes)["node"]

@@ -23,30 +23,41 @@ from slicewin.llm.common import materialize, table
 
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
-    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
+    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 WORD = r"[\p{L}\p{M}\p{Nd}]+"
 SUPPORT, THRESHOLD = 3, 0.9
+SPAN = "struct<start:int,end:int,value:string>"
+RUN = 256
 
 
 def located(text: Column, pattern: str, wanted: Callable[[Column], Column] | None = None) -> Column:
-    """array<struct<start, end, value>>: leftmost matches that do not overlap, in code points, end exclusive; only ``wanted`` values."""
+    """array<struct<start, end, value>>: leftmost matches that do not overlap, in code points, end exclusive; only ``wanted`` values.
+
+    Matches are gathered in runs of RUN, so that the work grows with their number and not with its square.
+    """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pieces = F.transform(F.split(text, pattern, -1), lambda p: F.length(p))
-    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    zero = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    none, runs = F.array().cast(f"array<{SPAN}>"), F.array().cast(f"array<array<{SPAN}>>")
+    zero = F.struct(F.lit(0).alias("at"), runs.alias("runs"), none.alias("run"))
 
     def step(s: Column, x: Column) -> Column:
         start = s["at"] + x["gap"]
         end = start + F.length(x["value"])
-        more = F.concat(s["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"))))
-        return F.struct(end.alias("at"), (more if wanted is None else F.when(wanted(x["value"]), more).otherwise(s["out"])).alias("out"))
+        full = F.size(s["run"]) >= RUN
+        run = F.when(full, none).otherwise(s["run"])
+        more = F.concat(run, F.array(F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"))))
+        return F.struct(
+            end.alias("at"),
+            F.when(full, F.concat(s["runs"], F.array(s["run"]))).otherwise(s["runs"]).alias("runs"),
+            (more if wanted is None else F.when(wanted(x["value"]), more).otherwise(run)).alias("run"),
+        )
 
     both = F.zip_with(F.slice(pieces, F.lit(1), F.size(found)), found, lambda g, v: F.struct(g.alias("gap"), v.alias("value")))
-    return F.when(F.size(found) > 0, F.aggregate(both, zero, step, lambda s: s["out"])).otherwise(none)
+    return F.when(F.size(found) > 0, F.aggregate(both, zero, step, lambda s: F.concat(F.flatten(s["runs"]), s["run"]))).otherwise(none)
 
 
 def digits(value: Column) -> Column:
@@ -73,10 +84,6 @@ def valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def judge(kind: str):
-    return lambda s: valid(kind, s["value"])
-
-
 def entities(kind: str):
     """The protected entities of a span: its value, the classes of its value, its kind; as hashes."""
 
@@ -107,9 +114,9 @@ def base_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(F.col(id_col), text).alias("doc"))
     hints = {"email": F.col("text").contains("@"), "ip": F.col("text").contains("."), "card": F.lit(True), "phone": F.col("text").contains("+")}
-    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
+    none = F.array().cast(f"array<{SPAN}>")
     for k in KINDS:
-        rows = rows.withColumn(k, F.when(hints[k], F.filter(located(F.col("text"), PATTERNS[k]), judge(k))).otherwise(none))
+        rows = rows.withColumn(k, F.when(hints[k], located(F.col("text"), PATTERNS[k], lambda value, k=k: valid(k, value))).otherwise(none))
     return rows
 
 
@@ -117,16 +124,24 @@ def words(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lower))
 
 
-def blanked(text: Column, spans: Column) -> Column:
-    """``text`` with spaces for its spans."""
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+def rewritten(text: Column, cuts: Column, put: Callable[[Column, Column], Column]) -> Column:
+    """``text`` with ``put(cut, code points not yet replaced)`` for each of ``cuts`` (start, end, ...), in their order."""
+    none, runs = F.array().cast("array<string>"), F.array().cast("array<array<string>>")
+    zero = F.struct(F.lit(0).alias("at"), runs.alias("runs"), none.alias("run"))
 
     def step(s: Column, c: Column) -> Column:
         keep = F.substring(text, s["at"] + 1, F.greatest(c["start"] - s["at"], F.lit(0)))
-        put = F.repeat(F.lit(" "), F.greatest(c["end"] - F.greatest(c["start"], s["at"]), F.lit(0)))
-        return F.struct(F.greatest(s["at"], c["end"]).alias("at"), F.concat(s["out"], keep, put).alias("out"))
+        full = F.size(s["run"]) >= RUN
+        run = F.when(full, none).otherwise(s["run"])
+        fresh = put(c, F.greatest(c["end"] - F.greatest(c["start"], s["at"]), F.lit(0)))
+        return F.struct(F.greatest(s["at"], c["end"]).alias("at"), F.when(full, F.concat(s["runs"], F.array(s["run"]))).otherwise(s["runs"]).alias("runs"), F.concat(run, F.array(keep, fresh)).alias("run"))
 
-    return F.aggregate(F.array_sort(F.transform(spans, lambda s: F.struct(s["start"], s["end"]))), zero, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+    return F.aggregate(cuts, zero, step, lambda s: F.concat(F.array_join(F.flatten(s["runs"]), ""), F.array_join(s["run"], ""), F.substring(text, s["at"] + 1, F.length(text))))
+
+
+def blanked(text: Column, spans: Column) -> Column:
+    """``text`` with spaces for its spans."""
+    return rewritten(text, F.array_sort(F.transform(spans, lambda s: F.struct(s["start"], s["end"]))), lambda c, n: F.repeat(F.lit(" "), n))
 
 
 def disclosing(spans: DataFrame) -> DataFrame:
@@ -157,7 +172,8 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """doc_id, text, n_email, n_ip, n_card, n_phone, base (array of kind, start, end), terms (alike).
 
     A null text is empty and has no spans. Repeated rows get equal spans; those with base spans count as one
-    document, those without as documents each. Copies under other ids are documents of their own. Other
+    document, those without as documents each. Copies under other ids are documents of their own. A very long text
+    is searched whole, in time that grows with its length and with its length times the number of its valid spans. Other
     columns are not read; an empty table gives no rows.
     """
     spans = base_spans(docs, id_col, text_col)
@@ -175,14 +191,8 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def sanitize(found: DataFrame) -> DataFrame:
     """``found`` with column sanitized: base spans generalised to their kind, disclosing terms removed."""
     cuts = F.array_sort(F.transform(F.concat("base", "terms"), lambda s: F.struct(s["start"], s["end"], s["kind"])))
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(s: Column, c: Column) -> Column:
-        keep = F.substring(F.col("text"), s["at"] + 1, F.greatest(c["start"] - s["at"], F.lit(0)))
-        put = F.when(c["kind"] == "term", F.lit("")).otherwise(F.concat(F.lit("["), c["kind"], F.lit("]")))
-        return F.struct(F.greatest(s["at"], c["end"]).alias("at"), F.concat(s["out"], keep, put).alias("out"))
-
-    return found.withColumn("sanitized", F.aggregate(cuts, zero, step, lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.length("text")))))
+    put = lambda c, n: F.when(c["kind"] == "term", F.lit("")).otherwise(F.concat(F.lit("["), c["kind"], F.lit("]")))
+    return found.withColumn("sanitized", rewritten(F.col("text"), cuts, put))
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from slicewin.llm.bytepieces import Encoder
 from slicewin.llm.common import discard, folder, materialize, store, table
+from slicewin.llm.textscan import portions
 
 BITS, LANES, BLOCK = 20, 512, 1 << 16
 MARK = 128
@@ -105,17 +106,15 @@ def tokenize(docs: DataFrame, tokenizer: str, id_col: str, text_col: str) -> Dat
         from pyspark import TaskContext
 
         coder, part, at = Encoder.of(tokenizer), TaskContext.get().partitionId(), 0
-        for b in batches:
-            for i in range(0, b.num_rows, 512):
-                ids = [np.append(x, U(END)) for x in coder.encode(b.column(1)[i : i + 512])]
-                starts = at + np.concatenate([[0], np.cumsum([len(x) for x in ids])])
-                at = int(starts[-1])
-                small = [x.astype("<u2" if int(x.max()) < 1 << 16 else "<u4").tobytes() for x in ids]
-                n = len(ids)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([part] * n, pa.int32()), pa.array(starts[:-1], pa.int64()), b.column(0)[i : i + 512], pa.array([len(x) for x in ids], pa.int64()), pa.array(small, pa.binary())],
-                    names=["part", "at", "doc_id", "n", "ids"],
-                )
+        for b in portions(batches):
+            ids = [np.append(x, np.uint32(END)) for x in coder.encode(b.column(1))]
+            starts = at + np.concatenate([[0], np.cumsum([len(x) for x in ids])])
+            at = int(starts[-1])
+            small = [x.astype("<u2" if int(x.max()) < 1 << 16 else "<u4").tobytes() for x in ids]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([part] * len(ids), pa.int32()), pa.array(starts[:-1], pa.int64()), b.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(small, pa.binary())],
+                names=["part", "at", "doc_id", "n", "ids"],
+            )
 
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Texts are joined into stretches of at least one text and about this many bytes.
-STRETCH = 1 << 20
+STRETCH = 1 << 18
 
 U = np.uint64
 _STEP = U(0x9E3779B97F4A7C15)  # odd, so its powers can be inverted modulo 2**64
@@ -84,6 +84,13 @@ def grams(hashes: np.ndarray, k: int) -> np.ndarray:
     return mixed(out + U(k))
 
 
+def portions(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in portions of at most ``rows``, which bounds what a task holds at once."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def stretches(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(index of the first text, bytes, offsets) for stretches of the texts of an Arrow column; null is empty."""
     if isinstance(column, pa.ChunkedArray):
