@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 MS, SECOND, MINUTE, HOUR, DAY = 1, 1_000, 60_000, 3_600_000, 86_400_000
 
@@ -53,7 +56,7 @@ class FixedBand:
 
 @dataclass(frozen=True)
 class Session:
-    """[first, last + gap) of rows at most ``gap`` apart."""
+    """[first, last + gap) of rows at most ``gap`` apart; time only, as are bands and punctuations."""
 
     gap: int
 
@@ -68,6 +71,12 @@ class Punctuation:
     matches: Column
 
 
+def pattern(**fields: object) -> Column:
+    """Rows whose fields are as given: a text is a regular expression that the whole field matches, None matches anything, another value is equal."""
+    each = [F.col(k).cast("string").rlike(rf"\A(?:{v})\z") if isinstance(v, str) else F.col(k).eqNullSafe(F.lit(v)) for k, v in fields.items() if v is not None]
+    return reduce(lambda a, b: a & b, each, F.lit(True))
+
+
 @dataclass(frozen=True)
 class CountTumbling(Tumbling):
     """As Tumbling, over the rows' ranks from 0; only full windows."""
@@ -83,3 +92,18 @@ class UserDefined:
     """``assign`` gives for the time column an array of structs (start, end)."""
 
     assign: Callable[[Column], Column]
+
+
+@dataclass(frozen=True)
+class UserContext:
+    """``windows`` gives the windows (start, end) of one key from all its rows, which come in order of column ``time``."""
+
+    windows: Callable[[pd.DataFrame], Iterable[tuple[int, int]]]
+
+
+@dataclass(frozen=True)
+class Added:
+    """``window`` as added while a stream ran: only windows of it that start at or after ``since``."""
+
+    window: object
+    since: int

@@ -14,7 +14,7 @@ H = W.HOUR
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet")
-    return e.select("event_id", "user_id", "event_type", F.unix_millis(F.from_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone())).alias("ts"), F.round(F.col("value") * 100).cast("long").alias("cents"))
+    return e.select("event_id", "user_id", "event_type", "props", "ts", F.round(F.col("value") * 100).cast("long").alias("cents"))
 
 
 def _four() -> list[A.Aggregate]:
