@@ -11,8 +11,8 @@ and the whole search is exact.
 Rounds keep the lists from giving all pairs. In each of ROUNDS rounds every list has a head, and each node
 is compared with the head of most of its lists; after a round only lists that hold nodes of several components
 go on. At last these give all pairs that are not connected yet. Pairs are left out where the sizes, the places in
-the lists or the marks (a bit for each retained value) show that too little is shared, filtered by the sketch of
-their union and confirmed on the full sets, which the sketches are where a set has no more than SKETCH
+the lists or the parities (of members by their last bits, which differ in no more places than the sets in members)
+show that too little is shared, filtered by the sketch of their union and confirmed on the full sets, which the sketches are where a set has no more than SKETCH
 values; components come from repeated joins of tables.
 """
 
@@ -32,8 +32,8 @@ from slicewin.llm.textscan import SPACED, Words, grams, portions, stretches
 SKETCH, SHARED = 128, 79
 BUCKETS = 1 << 16
 ROUNDS = 3
-#: Longs of a set of marks: a bit for each retained value, by its last bits.
-MARKS = 4
+#: Longs of a set's parity: for each value of some last bits whether an odd number of members has them.
+PARITY = 16
 
 
 def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -54,18 +54,17 @@ def lists(values: list[np.ndarray]) -> pa.Array:
 def sketches(docs: DataFrame, k: int, sketch: int | None, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in portions(batches):
-            n, sig, small, marks = [], [], [], []
+            n, sig, small, parity = [], [], [], []
             for s in shingle_sets(b.column(1), k):
                 n.append(len(s))
                 sig.append(hashlib.md5(s.tobytes()).digest())
                 small.append(s[:sketch])
-                bits = np.zeros(64 * MARKS, bool)
-                bits[small[-1] & (64 * MARKS - 1)] = True
-                marks.append(np.packbits(bits).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), lists(small), lists(marks)], names=["doc_id", "n", "sig", "sketch", "marks"])
+                bits = np.bincount(s & (64 * PARITY - 1), minlength=64 * PARITY) & 1
+                parity.append(np.packbits(bits.astype(np.uint8)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), lists(small), lists(parity)], names=["doc_id", "n", "sig", "sketch", "parity"])
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, n long, sig binary, sketch array<long>, marks array<long>")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, n long, sig binary, sketch array<long>, parity array<long>")
 
 
 def rarity(nodes: DataFrame) -> np.ndarray:
@@ -93,6 +92,12 @@ def required(na: Column, nb: Column, percent: int, sketch: int | None) -> Column
     return F.when(F.greatest(na, nb) <= sketch, whole).otherwise(F.least(F.lit(SHARED), F.ceil(F.greatest(na, nb) * percent / 100)))
 
 
+def alike(na: Column, nb: Column, pa_: Column, pb: Column, percent: int) -> Column:
+    """Whether the parities differ in no more places than similar sets differ in members; no similar pair fails."""
+    apart = sum(F.bit_count(F.get(pa_, F.lit(i)).bitwiseXOR(F.get(pb, F.lit(i)))) for i in range(PARITY))
+    return (100 + percent) * apart <= (100 - percent) * (na + nb)
+
+
 def compatible(na: Column, nb: Column, percent: int) -> Column:
     return 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
 
@@ -164,14 +169,12 @@ def both_sides(pairs: DataFrame, values: DataFrame, name: str) -> DataFrame:
 
 
 def confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int, sketch: int | None, id_col: str, text_col: str) -> DataFrame:
-    """The written ``pairs`` (a, b) whose sets are similar enough: by marks, by the union's sketch, then by the full sets."""
-    slim = nodes.select("node", F.struct("n", "marks").alias("slim"))
+    """The written ``pairs`` (a, b) whose sets are similar enough: by parity, by the union's sketch, then by the full sets."""
+    slim = nodes.select("node", F.struct("n", "parity").alias("slim"))
     both = both_sides(pairs, slim, "slim")
     na, nb = F.col("x.n"), F.col("y.n")
-    size = (lambda n: n) if sketch is None else (lambda n: F.least(n, F.lit(sketch)))
-    lone = [sum(F.bit_count(F.get(p, F.lit(i)).bitwiseAND(F.bitwise_not(F.get(q, F.lit(i))))) for i in range(MARKS)) for p, q in ((F.col("x.marks"), F.col("y.marks")), (F.col("y.marks"), F.col("x.marks")))]
-    need = required(na, nb, percent, sketch)
-    near = materialize(both.where(compatible(na, nb, percent) & (size(na) - lone[0] >= need) & (size(nb) - lone[1] >= need)).select("a", "b"), "near")
+    fit = compatible(na, nb, percent) & alike(na, nb, F.col("x.parity"), F.col("y.parity"), percent)
+    near = materialize(both.where(fit).select("a", "b"), "near")
     both = both_sides(near, nodes.select("node", F.struct("n", "sketch").alias("own")), "own")
     x, y = F.col("x.sketch"), F.col("y.sketch")
     common = F.size(F.array_intersect(x, y))
@@ -233,7 +236,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, id_col: str
     docs = docs.select(F.col(id_col), F.col(text_col))
     found = materialize(sketches(docs, k, sketch, id_col, text_col), "sketch")
     used = found.where("n > 0 AND doc_id IS NOT NULL")
-    nodes = materialize(used.groupBy("sig").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("marks").alias("marks")), "nodes")
+    nodes = materialize(used.groupBy("sig").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("parity").alias("parity")), "nodes")
     rows = materialize(found.select("doc_id", "n", "sig"), "rows")
     discard(found)
     index = inverted(nodes, rarity(nodes), percent, sketch).withColumn("leader", F.col("node"))
@@ -248,14 +251,16 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, id_col: str
         next_ = materialize(alive(led(live, links)), "lists")
         discard(live)
         live = next_
-    x = live.select("value", F.col("node").alias("a"), F.col("n").alias("na"), F.col("leader").alias("la"), F.col("left").alias("ra"))
-    y = live.select("value", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("leader").alias("lb"), F.col("left").alias("rb"))
-    # Similar sets share no more than what comes from this value on.
+    rest = materialize(live.join(nodes.select("node", "parity"), "node"), "rest")
+    discard(live)
+    x = rest.select("value", F.col("node").alias("a"), F.col("n").alias("na"), F.col("leader").alias("la"), F.col("left").alias("ra"), F.col("parity").alias("ma"))
+    y = rest.select("value", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("leader").alias("lb"), F.col("left").alias("rb"), F.col("parity").alias("mb"))
+    # Sets share no more than what comes from this value on, and differ in no fewer members than their parities do.
     near = (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & compatible(F.col("na"), F.col("nb"), percent)
-    enough = F.least("ra", "rb") >= required(F.col("na"), F.col("nb"), percent, sketch)
+    enough = (F.least("ra", "rb") >= required(F.col("na"), F.col("nb"), percent, sketch)) & alike(F.col("na"), F.col("nb"), F.col("ma"), F.col("mb"), percent)
     pairs = materialize(untried(x.join(y, "value").where(near & enough).select("a", "b").distinct(), tried), "pairs")
     more = confirm(pairs, nodes, docs, k, percent, sketch, id_col, text_col)
-    discard(live)
+    discard(rest)
     copies = rows.where("n > 0 AND doc_id IS NOT NULL").select("sig", F.col("doc_id").alias("a")).join(nodes.select("sig", F.col("node").alias("b")), "sig").where("a <> b").select("a", "b")
     part = components(links.union(more).union(copies))
     discard(nodes)
