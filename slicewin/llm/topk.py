@@ -1,11 +1,13 @@
 """Operator 4: exact top-k search by Fagin's threshold algorithm.
 
-Vectors are held in blocks. A block has a list for each dimension, sorted by that component; a query
-walks the lists from the end that its own component favours, in steps of growing depth, and scores
-all vectors met on the way. The bound at a depth is the score of a vector with the components that the
-lists have there; a query stops when the bound is below its k-th best score so far, which it keeps
-from block to block. Queries go to the tasks in blocks of at most QUERY_BYTES, one turn over the
-vectors for each; each task gives k rows for each query, of which the k best are kept.
+Vectors are held in blocks. A block has a list for each dimension, sorted by that component. Each query walks
+its own lists, each from the end that the query's component favours, in steps of growing depth, scores every vector that it
+meets for the first time, and stops where the bound cannot beat its k-th best score: the bound at a depth is the
+score of a vector with the components that the lists have there, which no vector not yet met exceeds. The k best
+are kept from block to block, so that later blocks stop sooner.
+
+Queries go to the tasks in blocks of at most QUERY_BYTES, one turn over the vectors for each, whose result is written
+before the next; each task gives k rows for each query, of which the k best are kept.
 """
 
 from __future__ import annotations
@@ -19,53 +21,57 @@ from pyspark.sql import functions as F
 
 from slicewin.llm.common import materialize, table
 
-ROWS, QUERY_BYTES, TOGETHER = 1 << 14, 32 << 20, 256
+ROWS, QUERY_BYTES, FIRST = 1 << 14, 32 << 20, 8
 
 
 class Best:
-    """The k best of each query so far; ties go to the smaller id."""
+    """The k best of each query so far; ties go to the smaller id. ``scored`` counts the vectors that a query met."""
 
     def __init__(self, ids: np.ndarray, q: np.ndarray, k: int):
         self.ids, self.q, self.k = ids, q, k
         self.score = np.full((len(q), k), -np.inf)
         self.vec = np.full((len(q), k), np.iinfo(np.int64).max)
-
-    def add(self, at: np.ndarray, scores: np.ndarray, vec: np.ndarray) -> None:
-        hit = (scores >= self.score[at, -1][:, None]) & (vec[None, :] != self.ids[at][:, None])
-        for i in np.flatnonzero(hit.any(axis=1)):
-            h, a = np.flatnonzero(hit[i]), at[i]
-            if len(h) > 4 * self.k:
-                s = scores[i, h]
-                h = h[s >= np.partition(s, -self.k)[-self.k]]
-            s, v = np.concatenate([self.score[a], scores[i, h]]), np.concatenate([self.vec[a], vec[h]])
-            o = np.lexsort((v, -s))[: self.k]
-            self.score[a], self.vec[a] = s[o], v[o]
+        self.scored = np.zeros(len(q), np.int64)
+
+    def add(self, a: int, scores: np.ndarray, vec: np.ndarray) -> None:
+        hit = np.flatnonzero((scores >= self.score[a, -1]) & (vec != self.ids[a]))
+        if not len(hit):
+            return
+        if len(hit) > 4 * self.k:
+            s = scores[hit]
+            hit = hit[s >= np.partition(s, -self.k)[-self.k]]
+        s, v = np.concatenate([self.score[a], scores[hit]]), np.concatenate([self.vec[a], vec[hit]])
+        o = np.lexsort((v, -s))[: self.k]
+        self.score[a], self.vec[a] = s[o], v[o]
 
     def search(self, vec: np.ndarray, v: np.ndarray) -> None:
+        """Each query's walk over the lists of one block."""
         m = len(v)
-        order = np.argsort(v, axis=0)
-        lists = np.take_along_axis(v, order, axis=0)
-        for lo in range(0, len(self.q), TOGETHER):
-            at = np.arange(lo, min(lo + TOGETHER, len(self.q)))
-            met = np.zeros(m, bool)
-            depth = max(1, m // 64)
-            while len(at):
-                q = self.q[at]
-                up, down = (q > 0).any(axis=0), (q < 0).any(axis=0)
+        order = np.ascontiguousarray(np.argsort(v, axis=0, kind="stable").T)
+        lists = np.take_along_axis(v.T, order, axis=1)
+        for a in range(len(self.q)):
+            q = self.q[a]
+            up, down = np.flatnonzero(q > 0), np.flatnonzero(q < 0)
+            met, before, depth = np.zeros(m, bool), 0, min(FIRST, m)
+            if not len(up) and not len(down):
+                # A query of zeros scores all alike; no list says more.
+                self.add(a, np.zeros(m), vec)
+                self.scored[a] += m
+                continue
+            while True:
                 fresh = np.zeros(m, bool)
-                if depth >= m or depth * (up.sum() + down.sum()) >= 2 * m:
-                    fresh[:] = True
-                else:
-                    fresh[order[m - depth :, up].ravel()] = True
-                    fresh[order[:depth, down].ravel()] = True
+                fresh[order[up, m - depth : m - before]] = True
+                fresh[order[down, before:depth]] = True
                 now = np.flatnonzero(fresh & ~met)
-                met |= fresh
-                self.add(at, q @ v[now].T, vec[now])
-                if met.all():
+                met[now] = True
+                self.scored[a] += len(now)
+                self.add(a, v[now] @ q, vec[now])
+                if depth == m or met.all():
+                    break
+                bound = q[up] @ lists[up, m - depth] + q[down] @ lists[down, depth - 1]
+                if bound < self.score[a, -1]:
                     break
-                bound = np.maximum(q, 0) @ lists[m - depth] + np.minimum(q, 0) @ lists[depth - 1]
-                at = at[bound >= self.score[at, -1]]
-                depth *= 8
+                before, depth = depth, min(m, 2 * depth)
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -75,12 +81,14 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 
 def search(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score: the k best of all other vectors for each id divisible by ``every``.
+    """query_id, rank, vec_id, score, scored: the k best of all other vectors for each id divisible by ``every``.
+
+    scored is the number of vectors that the query's walks met, of all candidates.
 
     Vectors without id, null, or with null or non-finite components take no part; a query is compared
     with vectors of its own length. Rows of one id as candidates count as often as they are there; a
     query id that occurs repeatedly is searched once, with its smallest vector. Sums are exact up to
-    2**53. Fewer than k rows come only where there are fewer candidates.
+    2**53. Fewer than k rows come only where there are fewer candidates. Other columns are not read; an empty table gives no rows.
     """
     rows = usable(vectors, id_col, vec_col)
     queries = materialize(rows.where(F.pmod("vec_id", F.lit(every)) == 0).groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
@@ -116,16 +124,21 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_i
             for d, x in best.items():
                 flush(d)
                 i, j = np.nonzero(x.score > -np.inf)
-                yield pa.RecordBatch.from_arrays([pa.array(x.ids[i]), pa.array(x.vec[i, j]), pa.array(x.score[i, j].astype(np.int64))], names=["query_id", "vec_id", "score"])
-
-        found = rows.mapInArrow(run, "query_id long, vec_id long, score long")
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x.ids[i]), pa.array(x.vec[i, j]), pa.array(x.score[i, j].astype(np.int64)), pa.array(np.where(j == 0, x.scored[i], 0))], names=["query_id", "vec_id", "score", "scored"]
+                )
+
+        whole = Window.partitionBy("query_id")
+        found = rows.mapInArrow(run, "query_id long, vec_id long, score long, scored long").withColumn("scored", F.sum("scored").over(whole))
+        found = found.withColumn("rank", F.row_number().over(whole.orderBy(F.col("score").desc(), "vec_id"))).where(F.col("rank") <= k)
+        found = found.select("query_id", "rank", "vec_id", "score", "scored")
+        found = found if turns == 1 else materialize(found, "turn")
         out = found if out is None else out.unionByName(found)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return out
 
 
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search(table(spark, sf_dir, "embeddings"))
+    return search(table(spark, sf_dir, "embeddings")).drop("scored")
 
 
 ORACLE_SQL = """
