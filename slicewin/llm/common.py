@@ -68,6 +68,16 @@ def broadcast_small(df: DataFrame, row_bytes: int, limit: int = 32 << 20) -> Dat
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
 
 
+def whole_row(docs: DataFrame) -> Column:
+    """All columns as one struct, so that no name of theirs meets a name of an operator's."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def unfolded(df: DataFrame, columns: list[str], row: str = "row") -> DataFrame:
+    """The columns of ``whole_row`` again."""
+    return df.select(*[F.col(row).getField(c).alias(c) for c in columns])
+
+
 def literal_table(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
     """A small table of the driver's as a literal in the plan; ``ddl`` as in ``'a int, b long'``.
 

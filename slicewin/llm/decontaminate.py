@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slicewin.llm.common import materialize, table
+from slicewin.llm.common import materialize, table, unfolded, whole_row
 from slicewin.llm.textscan import ALNUM, Words, grams, stretches
 
 SPAN, GRAM = 10, 6
@@ -127,15 +127,15 @@ def blocks_of(items: DataFrame, id_col: str, text_col: str, block_bytes: int) ->
 
 
 def find_overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", block_bytes: int = BLOCK_BYTES, keep: bool = False) -> DataFrame:
-    """n_words, n_hit, n_items, items_sha256, contaminated of each document, with doc_id or (keep) all its columns.
+    """n_words, n_hit, n_items, items_sha256, contaminated of each document, with its id or (keep) its columns as struct ``row``.
 
     Null and wordless texts have no words and are clean; so are all documents if there are no items.
     Items without words are nowhere found. Items with equal ids count once; a null item_id counts as
-    ``null``. Repeated documents are judged alike. Columns of these names in ``docs`` are replaced.
+    ``null``. Repeated documents are judged alike; very long texts are scanned whole. Other columns are not read, or
+    stay as they are in ``row``, whatever their names. An empty table gives no rows.
     """
-    names = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
-    own = [c for c in docs.columns if c not in names and c not in ("_text", "_hits", "_found")] if keep else [id_col]
-    cols = [F.col(c) for c in own]
+    own = ["row"] if keep else [id_col]
+    cols = [whole_row(docs).alias("row")] if keep else [F.col(id_col)]
     rows = docs.select(*cols, F.col(text_col).alias("_text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<long>").alias("_hits"), F.array().cast("array<string>").alias("_found"))
     schema, k = rows.schema, len(own)
 
@@ -171,8 +171,12 @@ def find_overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents that share no span with the benchmark, in their own columns."""
-    return find_overlaps(docs, items, keep=True).where("NOT contaminated").select(*docs.columns)
+    """The documents that share no span with the benchmark, in their own columns.
+
+    Null and empty texts stay, repeated rows stay or go together, and columns of any name are kept. Without
+    documents there are no rows, without items all stay.
+    """
+    return unfolded(find_overlaps(docs, items, keep=True).where("NOT contaminated"), docs.columns)
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

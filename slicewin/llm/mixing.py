@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from slicewin.llm.common import materialize, shuffle_partitions, table
+from slicewin.llm.common import materialize, shuffle_partitions, table, unfolded, whole_row
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -84,15 +84,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, i
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """The rows of ``docs``, each repeated as often as the mix takes it; a part taken at the cut counts as one.
 
-    Rows of one doc_id and source share what the mix takes of them evenly. Documents without words
-    carry no weight in the mix and stay once.
+    Rows of one doc_id and source share what the mix takes of them evenly. Documents without words (null and empty
+    texts too) carry no weight in the mix and stay once. Null ids and sources are values like others; columns of any
+    name are kept. An empty table gives no rows.
     """
-    taken = mix(docs, weights, most).groupBy("doc_id", "source").agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_size"))
-    taken = taken.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.coalesce(F.expr("try_divide(_taken, _size)"), F.lit(1.0)).alias("_share"))
-    on = docs["doc_id"].eqNullSafe(taken["_id"]) & docs["source"].eqNullSafe(taken["_source"])
-    times = F.ceil(F.col("_share")).cast("int")
-    rows = docs.join(taken, on).withColumn("_turn", F.explode(F.array_repeat(F.lit(1), times)))
-    return rows.select(*[docs[c] for c in docs.columns])
+    taken = mix(docs, weights, most).groupBy("doc_id", "source").agg(F.sum("taken").alias("words"), F.sum("size").alias("all"))
+    taken = taken.select(F.col("doc_id").alias("id"), F.col("source").alias("of"), F.coalesce(F.expr("try_divide(words, all)"), F.lit(1.0)).alias("share"))
+    rows = docs.select(F.col("doc_id").alias("own"), F.col("source").alias("from"), whole_row(docs).alias("row"))
+    rows = rows.join(taken, F.col("own").eqNullSafe(F.col("id")) & F.col("from").eqNullSafe(F.col("of")))
+    rows = rows.select("row", F.explode(F.array_repeat(F.lit(1), F.ceil("share").cast("int"))))
+    return unfolded(rows, docs.columns)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,19 +1,21 @@
 """Operator 9: quality classifier from weak labels.
 
-Four faults are judged: marks, repeats and tables, which are junk, and toxicity. For each, overlapping heuristics vote yes, no or not at all
-on every document. Expectation-maximisation over the counts of vote patterns (at most 3**heuristics
-of them, over all documents) estimates how accurate each heuristic is and how likely each pattern
-means the fault. These posteriors label the documents on which a linear scorer over hashed features
-is trained. The scorer judges all documents, and the posterior of a document's own votes, which covers all
-documents, counts where it is higher: a fault too rare to be among the trained ones is found by its votes.
-
-The words that a toxicity heuristic looks for are learned from labelled rows: at most LABELLED of
-them, those of the smallest hashes of their ids; the scorer is trained on at most TRAINED documents, chosen alike.
+Four faults are judged: marks, repeats and tables, which are junk, and toxicity. For each, overlapping heuristics
+vote yes, no or not at all on every document; of toxicity three see a third of the words each, one their repeats. Expectation-
+maximisation over the counts of vote patterns (at most 3**heuristics of them, over all documents) estimates how
+accurate each heuristic is and how likely each pattern means the fault. These posteriors label the documents on which
+a linear scorer over hashed features is trained. The scorer judges all documents, and the posterior of a document's
+own votes, which covers all documents, counts where it is higher: a fault too rare to be among the trained ones is
+found by its votes.
+
+Of the labelled rows at most LABELLED are used, those of the smallest hashes of their ids: the words that the toxicity
+heuristics look for are learned from their labels, and the scorer is trained on their documents, by the posteriors.
 Everything else covers all documents.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -21,18 +23,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from slicewin.llm.common import table
-from slicewin.llm.textscan import ALNUM, Words, stretches
+from slicewin.llm.common import table, unfolded, whole_row
+from slicewin.llm.textscan import ALNUM, Words, grams, portions, stretches
 
-LABELLED, TRAINED = 20_000, 20_000
+LABELLED = 20_000
+CHANCE = 1.0
 FEATURES = 1 << 16
+#: Words from which on repeats can be told.
+ENOUGH = 21
 #: Heuristics of each fault, by measure. Votes: yes from the second number, no below the first, none between.
 FAULTS = {
     "marks": {"marks": (0.06, 0.12), "runs": (0.1, 0.4), "capitals": (0.35, 0.6)},
     "repeats": {"most": (0.2, 0.4), "doubled": (0.3, 0.5), "same": (0.05, 0.3)},
     "tables": {"bars": (0.05, 0.3), "lone": (0.1, 0.3)},
-    "toxic": {"found": (1, 1), "total": (1, 2), "share": (1e-9, 0.002)},
+    "toxic": {"first": (1, 1), "second": (1, 1), "third": (1, 1), "again": (2, 2)},
 }
 MEASURES = [m for h in FAULTS.values() for m in h]
 DENSE = len(MEASURES) - len(FAULTS["toxic"])
@@ -40,7 +46,7 @@ U = np.uint64
 
 
 def measures(w: Words, t: int, bad: np.ndarray) -> tuple[list[float], np.ndarray]:
-    """Numbers about text t (shares, and the weights of its bad words), and the hashes of its distinct words."""
+    """Numbers about text t (shares, nan where it is too short for one, bad words of each third and all their occurrences), and the hashes of its distinct words."""
     a, b = int(w.first[t]), int(w.first[t + 1])
     raw = w.raw[w.offsets[t] : w.offsets[t + 1]]
     hashes = w.hashes[a:b]
@@ -57,15 +63,15 @@ def measures(w: Words, t: int, bad: np.ndarray) -> tuple[list[float], np.ndarray
     distinct, counts = np.unique(hashes, return_counts=True)
     pairs = hashes[1:] + hashes[:-1] * U(31)
     triples = pairs[1:] + hashes[:-2] * U(961) if b - a > 2 else pairs
-    doubled = 1 - len(np.unique(triples)) / len(triples) if b - a > 20 else 0.0
+    doubled = 1 - len(np.unique(triples)) / len(triples) if b - a >= ENOUGH else np.nan
     same_word = np.count_nonzero(hashes[1:] == hashes[:-1]) / n
     white = (raw == 32) | ((raw >= 9) & (raw <= 13))
     alone = white[:-2] & white[2:] & solid[1:-1] if size > 2 and len(raw) else np.zeros(0, bool)
     bars = np.count_nonzero(alone & (raw[1:-1] == 124)) / n if len(alone) else 0.0
     inside = np.isin(distinct, bad)
-    total = int(counts[inside].sum())
-    most = float(counts.max() / n) if b - a > 20 else 0.0
-    return [marks, runs, upper / max(1, upper + lower), most, doubled, same_word, bars, np.count_nonzero(alone) / n, int(inside.sum()), total, total / n], distinct
+    found = np.bincount((distinct[inside] % U(3)).astype(np.int64), minlength=3)
+    most = float(counts.max() / n) if b - a >= ENOUGH else np.nan
+    return [marks, runs, upper / max(1, upper + lower), most, doubled, same_word, bars, np.count_nonzero(alone) / n, *found.tolist(), int(counts[inside].sum())], distinct
 
 
 def votes(m: list[float]) -> list[str]:
@@ -106,28 +112,46 @@ def words_of(texts: list[str | None]) -> Iterator[tuple[Words, int]]:
             yield w, t
 
 
-def learn_words(docs: DataFrame, labels: DataFrame, limit: int) -> np.ndarray:
-    """Hashes of the words that mark toxic labelled documents: seen in at least 3 and mostly there."""
+def sampled(labels: DataFrame, limit: int) -> DataFrame:
+    """(doc_id, toxic) of at most ``limit`` labelled documents; a bound on what is broadcast."""
+    chosen = labels.where("doc_id IS NOT NULL AND (toxic IS NOT NULL OR quality IS NOT NULL)").groupBy("doc_id").agg(F.max("toxic").cast("long").alias("toxic"))
+    return chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+
+
+def learn_words(rows: DataFrame) -> np.ndarray:
+    """Hashes of the words that mark toxic ``rows`` (text, toxic): mostly in toxic texts, and in more than chance gives.
+
+    With p the share of toxic texts, k toxic texts and no other have a word with a chance of p**k; k is so large that
+    among all words that are in as many texts CHANCE of one is expected.
+
+    Texts with the same smallest hash of three words are taken for copies and count once, so that the other words of
+    a toxic text that was copied are not held for toxic.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            toxic = b.column(1).to_pylist()
-            for (w, t), y in zip(words_of(b.column(0).to_pylist()), toxic, strict=True):
-                h = np.unique(w.hashes[w.first[t] : w.first[t + 1]]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), y), pa.int64())], names=["h", "y"])
-
-    chosen = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.col("toxic").cast("long").alias("toxic"))
-    found = rows.mapInArrow(run, "h long, y long").groupBy("h").agg(F.sum("y").alias("bad"), F.count(F.lit(1)).alias("n"))
-    found = found.where("bad >= 3 AND bad > 0.8 * n").select("h").collect()
+        for b in portions(batches):
+            for (w, t), y in zip(words_of(b.column(0).to_pylist()), b.column(1).to_pylist(), strict=True):
+                hashes = w.hashes[w.first[t] : w.first[t + 1]]
+                if len(hashes):
+                    h = np.unique(hashes).view(np.int64)
+                    copy = grams(hashes, min(3, len(hashes))).min().astype(np.uint64).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), copy)), pa.array(np.full(len(h), y), pa.int64())], names=["h", "copy", "y"])
+
+    each = rows.where("toxic IS NOT NULL").mapInArrow(run, "h long, copy long, y long").groupBy("h", "copy").agg(F.max("y").alias("y"))
+    words = each.groupBy("h").agg(F.sum("y").alias("bad"), F.count(F.lit(1)).alias("n")).where("n >= 3")
+    tried = words.count()
+    share = rows.where("toxic IS NOT NULL").agg(F.avg("toxic")).first()[0] or 0.0
+    if not tried or not 0 < share < 1:
+        return np.zeros(0, U)
+    least = max(3, math.ceil(math.log(CHANCE / tried) / math.log(share)))
+    found = words.where((F.col("bad") >= least) & (F.col("bad") > 0.8 * F.col("n"))).select("h").collect()
     return np.sort(np.array([r["h"] for r in found], np.int64).view(U))
 
 
 def features(m: list[float], distinct: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places and values: steps of the measures, and the words, hashed into FEATURES places."""
     at = np.concatenate([np.arange(DENSE + 1), DENSE + 1 + np.unique(distinct % U(FEATURES - DENSE - 1)).astype(np.int64)])
-    return at, np.concatenate([[1.0], [3 * min(x, 1.0) for x in m[:DENSE]], np.ones(len(at) - DENSE - 1)])
+    return at, np.concatenate([[1.0], [0.0 if np.isnan(x) else 3 * min(x, 1.0) for x in m[:DENSE]], np.ones(len(at) - DENSE - 1)])
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, passes: int = 40) -> np.ndarray:
@@ -159,18 +183,20 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, passes: int
     return weights
 
 
-def classify(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, trained: int = TRAINED) -> DataFrame:
-    """All columns of ``docs`` with p_junk, p_toxic (double) and accepted (both at most 0.5).
+def classify(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, keep: bool = False) -> DataFrame:
+    """doc_id or (keep) all columns as struct ``row``, with p_junk, p_toxic (double) and accepted (both at most 0.5).
 
-    A null text counts as empty; an empty text gets no word features and is not junk by itself.
-    Null labels and labels of unknown documents are not used; repeated rows are judged alike. Columns
-    of the new names in ``docs`` are replaced. An empty table gives no rows; without toxic labels no
-    word is held for toxic.
+    A null text counts as empty; an empty text gets no word features and is not junk by itself. Very long texts are
+    judged whole; of texts of fewer than ENOUGH words two heuristics abstain. Null labels and labels of unknown
+    documents are not used; repeated rows are judged alike. Other columns are not read, or stay as they are in ``row``,
+    whatever their names. An empty table gives no rows; without toxic labels no word is held for toxic, and without
+    labels the votes judge alone.
     """
-    bad = learn_words(docs, labels, labelled)
+    chosen = docs.select("doc_id", "text").join(F.broadcast(sampled(labels, labelled)), "doc_id").select("text", "toxic")
+    bad = learn_words(chosen)
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in portions(batches):
             v = [votes(measures(w, t, bad)[0]) for w, t in words_of(b.column(0).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in v], pa.string()) for k in range(len(FAULTS))], names=list(FAULTS))
 
@@ -181,12 +207,9 @@ def classify(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, train
         for r in counts:
             seen[r[fault]] += r["count"]
         models.append(expectation_maximisation(dict(seen))[0])
-    hashes = F.xxhash64("doc_id")
-    last = docs.select(hashes.alias("h")).orderBy("h").limit(trained).agg(F.max("h")).first()[0]
-    chosen = docs.select("doc_id", "text").where(hashes <= F.lit(last)).orderBy(hashes, "doc_id", "text").limit(trained)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in portions(batches):
             at, val, y = [], [], []
             for w, t in words_of(b.column(0).to_pylist()):
                 m, distinct = measures(w, t, bad)
@@ -200,26 +223,28 @@ def classify(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, train
     rows = [(at.values.to_numpy(), np.concatenate([v.values.to_numpy(), np.ones(len(at) - DENSE - 1)])) for at, v in zip(sample["at"], sample["v"], strict=True)]
     y = np.array(sample["y"].to_pylist()).reshape(-1, len(FAULTS))
     weights = [train(rows, y[:, k]) for k in range(len(FAULTS))]
-    own = [c for c in docs.columns if c not in ("p_junk", "p_toxic", "accepted")]
-    frame = docs.select(*own)
-    schema = ", ".join(f"`{c}` {t}" for c, t in frame.dtypes)
+    first = whole_row(docs).alias("row") if keep else F.col("doc_id")
+    frame = docs.select(first, F.col("text").alias("words"))
+    name = frame.columns[0]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in portions(batches):
             p = np.zeros((b.num_rows, len(FAULTS)))
-            for i, (w, t) in enumerate(words_of(b.column(own.index("text")).to_pylist())):
+            for i, (w, t) in enumerate(words_of(b.column(1).to_pylist())):
                 m, distinct = measures(w, t, bad)
                 at, v = features(m, distinct)
                 for k, pattern in enumerate(votes(m)):
                     p[i, k] = max(1 / (1 + np.exp(-np.clip(weights[k][at] @ v, -30, 30))), models[k].get(pattern, 0.0))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p[:, :-1].max(axis=1)), pa.array(p[:, -1])], names=[*own, "p_junk", "p_toxic"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p[:, :-1].max(axis=1)), pa.array(p[:, -1])], names=[name, "p_junk", "p_toxic"])
 
-    return frame.mapInArrow(score, f"{schema}, p_junk double, p_toxic double").withColumn("accepted", F.expr("p_junk <= 0.5 AND p_toxic <= 0.5"))
+    schema = StructType([frame.schema[0]]).add("p_junk", "double").add("p_toxic", "double")
+    return frame.mapInArrow(score, schema).withColumn("accepted", F.expr("p_junk <= 0.5 AND p_toxic <= 0.5"))
 
 
 def keep_accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return classify(docs, labels).where("accepted").select(*docs.columns)
+    """The accepted rows of ``docs`` in their own columns, whatever their names; see ``classify`` for nulls and the rest."""
+    return unfolded(classify(docs, labels, keep=True).where("accepted"), docs.columns)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "p_junk", "p_toxic", "accepted")
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
