@@ -2,8 +2,8 @@ r"""Operator 1: information-theoretic sanitisation, in DataFrame operations only
 
 Base spans are found by patterns: email, ip, card, phone. Protected entities are each distinct value of a
 base span and the classes it belongs to: its kind, the domain of an email, the first two and three numbers
-of an ip, the leading digits of a card or phone. The terms of a document are its words outside base spans,
-wherever they stand. Corpus counts tell how strongly a term reveals an entity: with p the share of documents,
+of an ip, the leading digits of a card or phone. The terms of a document are its words outside base spans (which
+are blanked kind by kind), wherever they stand. Corpus counts tell how strongly a term reveals an entity: with p the share of documents,
 the term discloses PMI = log(p(term, entity) / (p(term) p(entity))) of the entity's information
 IC = -log p(entity). A term that discloses at least THRESHOLD of it, in at least SUPPORT documents, is removed
 wherever it stands, also from documents without the entity; it becomes a span of kind ``term``. All documents count.
@@ -31,33 +31,41 @@ PATTERNS = {
 WORD = r"[\p{L}\p{M}\p{Nd}]+"
 SUPPORT, THRESHOLD = 3, 0.9
 SPAN = "struct<start:int,end:int,value:string>"
-RUN = 256
+RUN = 64
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once."""
+    return F.transform(F.array(value), use)[0]
 
 
 def located(text: Column, pattern: str, wanted: Callable[[Column], Column] | None = None) -> Column:
     """array<struct<start, end, value>>: leftmost matches that do not overlap, in code points, end exclusive; only ``wanted`` values.
 
-    Matches are gathered in runs of RUN, so that the work grows with their number and not with its square.
+    Places are sums over runs of RUN matches and sums within a run, as an accumulator that grows with the matches
+    would be copied for each of them.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.transform(F.split(text, pattern, -1), lambda p: F.length(p))
-    none, runs = F.array().cast(f"array<{SPAN}>"), F.array().cast(f"array<array<{SPAN}>>")
-    zero = F.struct(F.lit(0).alias("at"), runs.alias("runs"), none.alias("run"))
-
-    def step(s: Column, x: Column) -> Column:
-        start = s["at"] + x["gap"]
-        end = start + F.length(x["value"])
-        full = F.size(s["run"]) >= RUN
-        run = F.when(full, none).otherwise(s["run"])
-        more = F.concat(run, F.array(F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"))))
-        return F.struct(
-            end.alias("at"),
-            F.when(full, F.concat(s["runs"], F.array(s["run"]))).otherwise(s["runs"]).alias("runs"),
-            (more if wanted is None else F.when(wanted(x["value"]), more).otherwise(run)).alias("run"),
-        )
-
-    both = F.zip_with(F.slice(pieces, F.lit(1), F.size(found)), found, lambda g, v: F.struct(g.alias("gap"), v.alias("value")))
-    return F.when(F.size(found) > 0, F.aggregate(both, zero, step, lambda s: F.concat(F.flatten(s["runs"]), s["run"]))).otherwise(none)
+    gaps = F.transform(F.split(text, pattern, -1), lambda p: F.length(p))
+    none = F.array().cast(f"array<{SPAN}>")
+    both = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, v: F.struct(g.alias("gap"), v.alias("value")))
+    long_ = lambda matches: F.aggregate(matches, F.lit(0), lambda n, x: n + x["gap"] + F.length(x["value"]))
+
+    def run_of(run: Column, before: Column) -> Column:
+        def span(x: Column, i: Column) -> Column:
+            start = before + long_(F.slice(run, F.lit(1), i)) + x["gap"]
+            return F.struct(start.alias("start"), (start + F.length(x["value"])).alias("end"), x["value"].alias("value"))
+
+        return F.transform(run, span)
+
+    def all_of(runs: Column) -> Column:
+        placed = lambda sizes: F.transform(runs, lambda run, j: run_of(run, F.aggregate(F.slice(sizes, F.lit(1), j), F.lit(0), lambda n, x: n + x)))
+        return F.flatten(let(F.transform(runs, long_), placed))
+
+    runs = lambda m: F.transform(F.sequence(F.lit(0), F.floor((F.size(m) - 1) / RUN).cast("int")), lambda j: F.slice(m, j * RUN + 1, F.lit(RUN)))
+    spans = let(both, lambda m: let(runs(m), all_of))
+    spans = spans if wanted is None else F.filter(spans, lambda s: wanted(s["value"]))
+    return F.when(F.size(found) > 0, spans).otherwise(none)
 
 
 def digits(value: Column) -> Column:
@@ -124,24 +132,12 @@ def words(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lower))
 
 
-def rewritten(text: Column, cuts: Column, put: Callable[[Column, Column], Column]) -> Column:
-    """``text`` with ``put(cut, code points not yet replaced)`` for each of ``cuts`` (start, end, ...), in their order."""
-    none, runs = F.array().cast("array<string>"), F.array().cast("array<array<string>>")
-    zero = F.struct(F.lit(0).alias("at"), runs.alias("runs"), none.alias("run"))
-
-    def step(s: Column, c: Column) -> Column:
-        keep = F.substring(text, s["at"] + 1, F.greatest(c["start"] - s["at"], F.lit(0)))
-        full = F.size(s["run"]) >= RUN
-        run = F.when(full, none).otherwise(s["run"])
-        fresh = put(c, F.greatest(c["end"] - F.greatest(c["start"], s["at"]), F.lit(0)))
-        return F.struct(F.greatest(s["at"], c["end"]).alias("at"), F.when(full, F.concat(s["runs"], F.array(s["run"]))).otherwise(s["runs"]).alias("runs"), F.concat(run, F.array(keep, fresh)).alias("run"))
-
-    return F.aggregate(cuts, zero, step, lambda s: F.concat(F.array_join(F.flatten(s["runs"]), ""), F.array_join(s["run"], ""), F.substring(text, s["at"] + 1, F.length(text))))
-
-
-def blanked(text: Column, spans: Column) -> Column:
-    """``text`` with spaces for its spans."""
-    return rewritten(text, F.array_sort(F.transform(spans, lambda s: F.struct(s["start"], s["end"]))), lambda c, n: F.repeat(F.lit(" "), n))
+def blanked(text: Column, kind: str) -> Column:
+    """``text`` with spaces for the valid matches of a kind, in one pass over its pieces."""
+    pattern = PATTERNS[kind]
+    spaces = lambda v: F.when(valid(kind, v), F.repeat(F.lit(" "), F.length(v))).otherwise(v)
+    parts = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda p, v: F.concat(p, F.coalesce(spaces(v), F.lit(""))))
+    return F.array_join(parts, "")
 
 
 def disclosing(spans: DataFrame) -> DataFrame:
@@ -173,26 +169,40 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     A null text is empty and has no spans. Repeated rows get equal spans; those with base spans count as one
     document, those without as documents each. Copies under other ids are documents of their own. A very long text
-    is searched whole, in time that grows with its length and with its length times the number of its valid spans. Other
+    is searched whole, in time that grows with its length. Other
     columns are not read; an empty table gives no rows.
     """
     spans = base_spans(docs, id_col, text_col)
     base = F.concat(*[F.transform(k, labelled(k)) for k in KINDS])
-    spans = materialize(spans.withColumn("bare", F.when(F.size(base) > 0, blanked(F.col("text"), base))), "pii")
+    spans = spans.withColumn("bare", F.when(F.size(base) > 0, F.col("text")))
+    for k in KINDS:
+        spans = spans.withColumn("bare", F.when(F.size(k) > 0, blanked(F.col("bare"), k)).otherwise(F.col("bare")))
+    spans = materialize(spans, "pii")
     bare = F.coalesce("bare", "text")
     hits = spans.select("doc", F.explode(words(bare)).alias("term")).join(disclosing(spans), "term", "left_semi")
     hits = materialize(hits.groupBy("doc").agg(F.collect_set("term").alias("found")), "pii-hits")
     rows = spans.join(hits, "doc", "left").withColumn("base", base)
     own = located(bare, WORD, lambda value: F.array_contains("found", F.lower(value)))
+    # Spans of different kinds may overlap; what one of them leaves of another is no term.
+    own = F.filter(own, lambda t: ~F.exists("base", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
     terms = F.when(F.col("found").isNotNull(), F.transform(own, labelled("term"))).otherwise(F.array().cast("array<struct<kind:string,start:int,end:int>>"))
     return rows.select("doc_id", "text", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], "base", terms.alias("terms"))
 
 
 def sanitize(found: DataFrame) -> DataFrame:
-    """``found`` with column sanitized: base spans generalised to their kind, disclosing terms removed."""
+    """``found`` with column sanitized: base spans generalised to their kind, disclosing terms removed.
+
+    The time for a text grows with its length times the number of its spans.
+    """
     cuts = F.array_sort(F.transform(F.concat("base", "terms"), lambda s: F.struct(s["start"], s["end"], s["kind"])))
-    put = lambda c, n: F.when(c["kind"] == "term", F.lit("")).otherwise(F.concat(F.lit("["), c["kind"], F.lit("]")))
-    return found.withColumn("sanitized", rewritten(F.col("text"), cuts, put))
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(s: Column, c: Column) -> Column:
+        keep = F.substring(F.col("text"), s["at"] + 1, F.greatest(c["start"] - s["at"], F.lit(0)))
+        put = F.when(c["kind"] == "term", F.lit("")).otherwise(F.concat(F.lit("["), c["kind"], F.lit("]")))
+        return F.struct(F.greatest(s["at"], c["end"]).alias("at"), F.concat(s["out"], keep, put).alias("out"))
+
+    return found.withColumn("sanitized", F.aggregate(cuts, zero, step, lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.length("text")))))
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
