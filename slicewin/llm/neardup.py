@@ -79,8 +79,8 @@ def rarity(nodes: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
 
     out = np.zeros(BUCKETS, np.int64)
-    for r in nodes.select("sketch").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
-        out[r["bucket"]] = r["n"]
+    found = nodes.select("sketch").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out[found["bucket"].to_numpy()] = found["n"].to_numpy()
     return out
 
 

@@ -149,37 +149,36 @@ def learn_words(rows: DataFrame) -> np.ndarray:
 
 
 def features(m: list[float], distinct: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places and values: steps of the measures, and the words, hashed into FEATURES places."""
-    at = np.concatenate([np.arange(DENSE + 1), DENSE + 1 + np.unique(distinct % U(FEATURES - DENSE - 1)).astype(np.int64)])
-    return at, np.concatenate([[1.0], [0.0 if np.isnan(x) else 3 * min(x, 1.0) for x in m[:DENSE]], np.ones(len(at) - DENSE - 1)])
+    """A one and steps of the measures, for the first places; and the places into which the words are hashed."""
+    dense = np.array([1.0, *[0.0 if np.isnan(x) else 3 * min(x, 1.0) for x in m[:DENSE]]])
+    return dense, (DENSE + 1 + np.unique(distinct % U(FEATURES - DENSE - 1))).astype(np.int32)
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, passes: int = 40) -> np.ndarray:
-    """Logistic weights by adaptive gradient steps over hashed features that go with the fault or against it."""
-    weights = np.zeros(FEATURES)
-    if not rows or not (y > 0.5).any():
+def train(dense: np.ndarray, places: np.ndarray, lengths: np.ndarray, y: np.ndarray, passes: int = 400) -> np.ndarray:
+    """Logistic weights by adaptive gradient steps, over the measures and the hashed words that go with the fault.
+
+    ``places`` holds the places of the words of all documents, ``lengths`` of them for each.
+    """
+    weights, n = np.zeros(FEATURES), len(y)
+    if not (y > 0.5).any():
         weights[0] = -8.0
         return weights
-    pos, all_ = np.zeros(FEATURES), np.zeros(FEATURES)
-    for (at, _), p in zip(rows, y, strict=True):
-        pos[at] += p
-        all_[at] += 1
+    pos, all_ = np.bincount(places, np.repeat(y, lengths), FEATURES), np.bincount(places, minlength=FEATURES)
     base = max(y.mean(), 1e-4)
-    spread = np.sqrt(all_ * base * (1 - base)) + 1e-9
-    use = (pos - all_ * base) / spread > 5
-    use[: DENSE + 1] = True
-    place = np.full(FEATURES, -1)
-    place[use] = np.arange(use.sum())
-    kept = [(place[at][use[at]], v[use[at]]) for at, v in rows]
-    row = np.repeat(np.arange(len(rows)), [len(at) for at, _ in kept])
-    at, v, size = np.concatenate([a for a, _ in kept]), np.concatenate([v for _, v in kept]), int(use.sum())
-    w, g2 = np.zeros(size), np.full(size, 1e-8)
-    for _ in range(passes * 10):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, v * w[at], len(rows)), -30, 30)))
-        g = np.bincount(at, v * (p - y)[row], size) / len(y) + 1e-5 * w
-        g2 += g * g
-        w -= 0.5 * g / np.sqrt(g2)
-    weights[use] = w
+    use = (pos - all_ * base) / (np.sqrt(all_ * base * (1 - base)) + 1e-9) > 5
+    which, kept = np.flatnonzero(use), use[places]
+    at = np.searchsorted(which, places[kept])
+    row = np.repeat(np.arange(n, dtype=np.int32), lengths)[kept]
+    w, v = np.zeros(dense.shape[1]), np.zeros(len(which))
+    w2, v2 = np.full(len(w), 1e-8), np.full(len(v), 1e-8)
+    for _ in range(passes):
+        error = 1 / (1 + np.exp(-np.clip(dense @ w + np.bincount(row, v[at], n), -30, 30))) - y
+        g, h = error @ dense / n + 1e-5 * w, np.bincount(at, error[row], len(v)) / n + 1e-5 * v
+        w2 += g * g
+        v2 += h * h
+        w -= 0.5 * g / np.sqrt(w2)
+        v -= 0.5 * h / np.sqrt(v2)
+    weights[: len(w)], weights[which] = w, v
     return weights
 
 
@@ -213,16 +212,17 @@ def classify(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, keep:
             at, val, y = [], [], []
             for w, t in words_of(b.column(0).to_pylist()):
                 m, distinct = measures(w, t, bad)
-                a, v = features(m, distinct)
-                at.append(a.tolist())
-                val.append(v[: DENSE + 1].tolist())
+                dense, places = features(m, distinct)
+                at.append(places)
+                val.append(dense)
                 y.append([model.get(p, 0.0) for model, p in zip(models, votes(m), strict=True)])
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.list_(pa.int64())), pa.array(val, pa.list_(pa.float64())), pa.array(y, pa.list_(pa.float64()))], names=["at", "v", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.list_(pa.int32())), pa.array(val, pa.list_(pa.float64())), pa.array(y, pa.list_(pa.float64()))], names=["at", "v", "y"])
 
-    sample = chosen.select("text").mapInArrow(learn, "at array<long>, v array<double>, y array<double>").toArrow()
-    rows = [(at.values.to_numpy(), np.concatenate([v.values.to_numpy(), np.ones(len(at) - DENSE - 1)])) for at, v in zip(sample["at"], sample["v"], strict=True)]
-    y = np.array(sample["y"].to_pylist()).reshape(-1, len(FAULTS))
-    weights = [train(rows, y[:, k]) for k in range(len(FAULTS))]
+    sample = chosen.select("text").mapInArrow(learn, "at array<int>, v array<double>, y array<double>").toArrow()
+    at, dense, y = (sample[c].combine_chunks() for c in ("at", "v", "y"))
+    dense, y = dense.flatten().to_numpy().reshape(-1, DENSE + 1), y.flatten().to_numpy().reshape(-1, len(FAULTS))
+    weights = [train(dense, at.flatten().to_numpy(), at.value_lengths().to_numpy(), y[:, k]) for k in range(len(FAULTS))]
+    del sample, at, dense, y
     first = whole_row(docs).alias("row") if keep else F.col("doc_id")
     frame = docs.select(first, F.col("text").alias("words"))
     name = frame.columns[0]
@@ -232,9 +232,10 @@ def classify(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, keep:
             p = np.zeros((b.num_rows, len(FAULTS)))
             for i, (w, t) in enumerate(words_of(b.column(1).to_pylist())):
                 m, distinct = measures(w, t, bad)
-                at, v = features(m, distinct)
+                dense, places = features(m, distinct)
                 for k, pattern in enumerate(votes(m)):
-                    p[i, k] = max(1 / (1 + np.exp(-np.clip(weights[k][at] @ v, -30, 30))), models[k].get(pattern, 0.0))
+                    x = weights[k][: DENSE + 1] @ dense + weights[k][places].sum()
+                    p[i, k] = max(1 / (1 + np.exp(-np.clip(x, -30, 30))), models[k].get(pattern, 0.0))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p[:, :-1].max(axis=1)), pa.array(p[:, -1])], names=[name, "p_junk", "p_toxic"])
 
     schema = StructType([frame.schema[0]]).add("p_junk", "double").add("p_toxic", "double")
