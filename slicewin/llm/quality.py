@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from slicewin.llm.common import table, unfolded, whole_row
-from slicewin.llm.textscan import ALNUM, Words, grams, portions, stretches
+from slicewin.llm.textscan import ALNUM, Words, grams, mixed, portions, stretches
 
 LABELLED = 20_000
 CHANCE = 1.0
@@ -124,8 +124,8 @@ def learn_words(rows: DataFrame) -> np.ndarray:
     With p the share of toxic texts, k toxic texts and no other have a word with a chance of p**k; k is so large that
     among all words that are in as many texts CHANCE of one is expected.
 
-    Texts with the same smallest hash of three words are taken for copies and count once, so that the other words of
-    a toxic text that was copied are not held for toxic.
+    Texts with the same smallest hashes of five words, of two hash functions, are taken for copies and count once, so
+    that the other words of a toxic text that was copied are not held for toxic.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,7 +134,8 @@ def learn_words(rows: DataFrame) -> np.ndarray:
                 hashes = w.hashes[w.first[t] : w.first[t + 1]]
                 if len(hashes):
                     h = np.unique(hashes).view(np.int64)
-                    copy = grams(hashes, min(3, len(hashes))).min().astype(np.uint64).view(np.int64)
+                    five = grams(hashes, min(5, len(hashes)))
+                    copy = (five.min() ^ mixed(mixed(five) + U(1)).min()).view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), copy)), pa.array(np.full(len(h), y), pa.int64())], names=["h", "copy", "y"])
 
     each = rows.where("toxic IS NOT NULL").mapInArrow(run, "h long, copy long, y long").groupBy("h", "copy").agg(F.max("y").alias("y"))

@@ -144,11 +144,14 @@ def test_classifier(spark):
 
 
 def test_faults_that_the_scorer_has_not_seen(spark):
+    """The scorer is trained on labelled rows without junk; votes over all rows find it."""
     clean = [(i, f"the quiet river {i} runs by the old mill and its {i} wheels") for i in range(60)]
-    toxic = [(100 + i, f"the quiet river {i} runs by you grobnik and its mill") for i in range(12)]
-    labels = spark.createDataFrame([(i, 1, int(i >= 100)) for i, _ in clean + toxic], "doc_id long, quality int, toxic int")
-    out = {r["doc_id"]: r["accepted"] for r in quality.classify(docs(spark, clean + toxic), labels, trained=1).collect()}
+    junk = [(200 + i, " ".join(f"WORD{i}{j}!!" for j in "ABCDEFGHIJ")) for i in range(12)]
+    labels = spark.createDataFrame([(i, 1, 0) for i, _ in clean], "doc_id long, quality int, toxic int")
+    out = {r["doc_id"]: r["accepted"] for r in quality.classify(docs(spark, clean + junk), labels).collect()}
     assert out == {i: i < 100 for i in out} and len(out) == 72
+    alone = {r["doc_id"]: r["accepted"] for r in quality.classify(docs(spark, clean + junk), labels.limit(0)).collect()}
+    assert alone == out
 
 
 def test_urls_and_overlaps_without_rows(spark):
