@@ -10,6 +10,7 @@ from slicewin.functions.time import at_millis, millis
 from slicewin.operators import windows as W
 from slicewin.plans import planner
 from slicewin.plans.planner import aggregate_windows, edges
+from slicewin.query import WindowedQuery
 from slicewin.sources import connectors, generators
 
 
@@ -178,3 +179,15 @@ def test_console_sink(spark):
     query = connectors.to_console(generators.rate_batches(spark, 5).select("value"), "append", once=True)
     query.awaitTermination(60)
     assert query.exception() is None
+
+
+def test_queries_are_values(spark):
+    base = WindowedQuery().key("key").window(W.Tumbling(10)).aggregate(A.sum_of("value"))
+    more = base.window(W.Tumbling(5), since=10).ordered("value").batch(watermark=20)
+    rows = spark.createDataFrame([(1, 2, 3), (1, 4, 12), (2, 8, 25)], "key int, value long, ts long")
+    assert sorted(map(tuple, rows.transform(base.over).collect())) == [(0, 1, 0, 10, 2), (0, 1, 10, 20, 4), (0, 2, 20, 30, 8)]
+    assert sorted(map(tuple, rows.transform(more.over).collect())) == [(0, 1, 0, 10, 2), (0, 1, 10, 20, 4), (1, 1, 10, 15, 4)]
+    stream = generators.rate(spark).transform(WindowedQuery().window(W.Tumbling(1000)).aggregate(A.count_rows()).allowed_lateness(5).over)
+    assert stream.isStreaming and stream.columns == ["spec", "start", "end", "count"]
+    with pytest.raises(ValueError):
+        WindowedQuery().over(rows)
