@@ -8,6 +8,10 @@ the term discloses PMI = log(p(term, entity) / (p(term) p(entity))) of the entit
 IC = -log p(entity). A term that discloses at least THRESHOLD of it, in at least SUPPORT documents, is removed
 wherever it stands, also from documents without the entity; it becomes a span of kind ``term``. All documents count.
 
+Secrets (keys, tokens of access) reveal themselves by their own information: a run of at least SECRET letters and
+digits, of both, whose length times the binary logarithm of its number of different characters is BITS or more, and that
+is no part of a base span, becomes a span of kind ``secret``. The shortest such runs are beyond chance for words and numbers.
+
 Texts are cut at the matches, so positions are sums of lengths in code points. The patterns begin
 where no longer match could have begun, which keeps long runs linear and changes no match.
 """
@@ -28,6 +32,9 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+#: Runs that can be secrets, by length.
+SECRET, BITS = 20, 64
+RUN_OF = rf"(?<![A-Za-z0-9])[A-Za-z0-9]{{{SECRET},}}+"
 WORD = r"[\p{L}\p{M}\p{Nd}]+"
 SUPPORT, THRESHOLD = 3, 0.9
 SPAN = "struct<start:int,end:int,value:string>"
@@ -109,6 +116,11 @@ def entities(kind: str):
     return of
 
 
+def secret(value: Column) -> Column:
+    bits = F.length(value) * F.log2(F.size(F.array_distinct(F.split(value, ""))))
+    return value.rlike("[0-9]") & value.rlike("[A-Za-z]") & (bits >= BITS)
+
+
 def labelled(kind: str):
     return lambda s: F.struct(F.lit(kind).alias("kind"), s["start"], s["end"])
 
@@ -165,7 +177,7 @@ def disclosing(spans: DataFrame) -> DataFrame:
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text, n_email, n_ip, n_card, n_phone, base (array of kind, start, end), terms (alike).
+    """doc_id, text, n_email, n_ip, n_card, n_phone, base (array of kind, start, end), terms and secrets (alike).
 
     A null text is empty and has no spans. Repeated rows get equal spans; those with base spans count as one
     document, those without as documents each. Copies under other ids are documents of their own. A very long text
@@ -184,17 +196,20 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = spans.join(hits, "doc", "left").withColumn("base", base)
     own = located(bare, WORD, lambda value: F.array_contains("found", F.lower(value)))
     # Spans of different kinds may overlap; what one of them leaves of another is no term.
-    own = F.filter(own, lambda t: ~F.exists("base", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
-    terms = F.when(F.col("found").isNotNull(), F.transform(own, labelled("term"))).otherwise(F.array().cast("array<struct<kind:string,start:int,end:int>>"))
-    return rows.select("doc_id", "text", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], "base", terms.alias("terms"))
+    apart = lambda t: ~F.exists("base", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"]))
+    none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
+    terms = F.when(F.col("found").isNotNull(), F.transform(F.filter(own, apart), labelled("term"))).otherwise(none)
+    runs = located(F.col("text"), RUN_OF, secret)
+    secrets = F.when(F.col("text").rlike(RUN_OF), F.transform(F.filter(runs, apart), labelled("secret"))).otherwise(none)
+    return rows.select("doc_id", "text", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], "base", terms.alias("terms"), secrets.alias("secrets"))
 
 
 def sanitize(found: DataFrame) -> DataFrame:
-    """``found`` with column sanitized: base spans generalised to their kind, disclosing terms removed.
+    """``found`` with column sanitized: base spans and secrets generalised to their kind, disclosing terms removed.
 
     The time for a text grows with its length times the number of its spans.
     """
-    cuts = F.array_sort(F.transform(F.concat("base", "terms"), lambda s: F.struct(s["start"], s["end"], s["kind"])))
+    cuts = F.array_sort(F.transform(F.concat("base", "terms", "secrets"), lambda s: F.struct(s["start"], s["end"], s["kind"])))
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(s: Column, c: Column) -> Column:
@@ -207,4 +222,6 @@ def sanitize(found: DataFrame) -> DataFrame:
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_personal_data(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.concat("base", "terms")).alias("spans"))
+    spans = F.concat("base", "terms", "secrets")
+    more = [F.size("secrets").cast("long").alias("n_secret"), F.size("terms").cast("long").alias("n_term"), F.size(spans).cast("long").alias("n_spans")]
+    return found.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(spans).alias("spans"), *more)

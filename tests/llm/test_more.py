@@ -118,6 +118,15 @@ def test_terms_against_brute_force(spark):
     assert terms == want
 
 
+def test_secrets_reveal_themselves(spark):
+    key = "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"
+    texts = [f'token = "{key}" é', "antidisestablishmentarianism and 12345678901234567890123", "a1" * 30, f"{key.lower()}@x.org", f"é{key}é {key[:19]}", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r for r in pii.sanitize(pii.find_personal_data(df)).collect()}
+    assert [[tuple(s)[1:] for s in found[i]["secrets"]] for i in range(6)] == [[(9, 49)], [], [], [], [(1, 41)], []]
+    assert found[0]["sanitized"] == 'token = "[secret]" é'
+
+
 def test_very_long_personal_data(spark):
     texts = ["a@b" + ".c" * 100_000, " ".join(f"u{i}@x.org" for i in range(20_000)), "1." * 60_000, "+1" + "1" * 60_000, "7 " * 60_000, "@" * 60_000]
     begin = time.time()
