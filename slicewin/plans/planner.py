@@ -5,7 +5,7 @@ keys and slice, and all windows are put together from slices by one explode and
 there are. Sessions are put together within stretches of time first; only those near the edge of a stretch go on
 to wider ones. Ranks and punctuations are found within stretches that are cut by the measured number of rows, and
 carried over by small tables of one row for each key and stretch. So one key, or none, does not put all rows
-into one task.
+into one task. A table of no more rows than one stretch holds is one stretch.
 """
 
 from __future__ import annotations
@@ -58,7 +58,7 @@ class Plan:
     def __init__(self, rows: DataFrame, aggregates: list[Aggregate], keys: list[str], order: list[str]):
         self.rows, self.aggregates, self.keys, self.order = rows, aggregates, keys, order
         self.shares = all(a.shares_slices for a in aggregates)
-        self._width: int | None = None
+        self._span: tuple[int, int] | None = None
 
     def lift(self, df: DataFrame, by: list[str | Column]) -> DataFrame:
         return df.groupBy(*by).agg(*[c.alias(f"_p{i}_{j}") for i, a in enumerate(self.aggregates) for j, c in enumerate(a.lift)])
@@ -156,8 +156,9 @@ class Plan:
         bounds = [F.min("_first").alias("_first"), F.max("_last").alias("_last")]
         first = self.rows.withColumn("_first", F.col(T)).withColumn("_last", F.col(T)).withColumn("_part", at(narrow))
         lifted = [c.alias(f"_p{i}_{j}") for i, a in enumerate(self.aggregates) for j, c in enumerate(a.lift)] if self.shares else []
+        first = first.withColumn("_part", _long(0)) if self.small() else first
         found = numbered(first, ["_part"]).groupBy(*self.keys, "_part", "_n").agg(*bounds, *lifted)
-        for width, wider in ((narrow, at(wide)), (wide, _long(0))):
+        for width, wider in () if self.small() else ((narrow, at(wide)), (wide, _long(0))):
             parts = found.drop("_part", "_n", "_on").withColumn("_on", near(width))
             parts = parts.withColumn("_part", F.when(F.col("_on"), wider).otherwise(at(narrow)))
             found = numbered(parts, ["_on", "_part"]).groupBy(*self.keys, "_on", "_part", "_n").agg(*bounds, *(self.merged() if self.shares else []))
@@ -172,15 +173,19 @@ class Plan:
 
     # Windows over the order of rows
 
-    def width(self) -> int:
-        """Of a stretch that holds ROWS rows on average; one pass over the times."""
-        if self._width is None:
-            r = self.rows.agg(F.min(T), F.max(T), F.count(F.lit(1))).first()
-            self._width = max(1, (r[1] - r[0] + 1) * ROWS // r[2]) if r[2] else 1
-        return self._width
+    def span(self) -> tuple[int, int]:
+        """The width of a stretch that holds ROWS rows on average, and the number of rows; one pass over the times."""
+        if self._span is None:
+            low, high, n = self.rows.agg(F.min(T), F.max(T), F.count(F.lit(1))).first()
+            self._span = (max(1, (high - low + 1) * ROWS // n) if n else 1, n)
+        return self._span
+
+    def small(self) -> bool:
+        """Whether all rows may meet in one task."""
+        return self.span()[1] <= ROWS
 
     def stretched(self) -> DataFrame:
-        return self.rows.withColumn("_at", F.floor(F.col(T) / self.width()).cast("long"))
+        return self.rows.withColumn("_at", F.floor(F.col(T) / self.span()[0]).cast("long"))
 
     def carried(self, x: DataFrame, per: DataFrame, *columns: str) -> DataFrame:
         """``x`` with ``columns`` of ``per``, which has a row for each key and stretch."""
@@ -189,25 +194,33 @@ class Plan:
 
     def punctuation(self, w: Punctuation, spec: int) -> DataFrame:
         """The window that is still open at the end gives no row."""
-        x = self.stretched().withColumn("_mark", F.when(F.coalesce(w.matches, F.lit(False)), F.col(T)))
-        per = x.groupBy(*self.keys, "_at").agg(F.min(T).alias("_low"), F.min("_mark").alias("_lo"), F.max("_mark").alias("_hi"))
-        order = Window.partitionBy(*self.keys).orderBy("_at")
-        per = per.withColumn("_zero", F.min("_low").over(Window.partitionBy(*self.keys)))
-        per = per.withColumn("_before", F.max("_hi").over(order.rowsBetween(Window.unboundedPreceding, -1)))
-        per = per.withColumn("_after", F.min("_lo").over(order.rowsBetween(1, Window.unboundedFollowing)))
-        x = self.carried(x, per, "_zero", "_before", "_after")
-        within = Window.partitionBy(*self.keys, "_at").orderBy(T)
+        mark = F.when(F.coalesce(w.matches, F.lit(False)), F.col(T))
+        if self.small():
+            x = self.rows.withColumn("_mark", mark).withColumn("_at", _long(0))
+            x = x.withColumn("_zero", F.min(T).over(Window.partitionBy(*self.keys))).withColumn("_before", F.lit(None)).withColumn("_after", F.lit(None))
+        else:
+            x = self.stretched().withColumn("_mark", mark)
+            per = x.groupBy(*self.keys, "_at").agg(F.min(T).alias("_low"), F.min("_mark").alias("_lo"), F.max("_mark").alias("_hi"))
+            order = Window.partitionBy(*self.keys).orderBy("_at")
+            per = per.withColumn("_zero", F.min("_low").over(Window.partitionBy(*self.keys)))
+            per = per.withColumn("_before", F.max("_hi").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+            per = per.withColumn("_after", F.min("_lo").over(order.rowsBetween(1, Window.unboundedFollowing)))
+            x = self.carried(x, per, "_zero", "_before", "_after")
+        within = Window.partitionBy(*self.keys, *([] if self.small() else ["_at"])).orderBy(T)
         x = x.withColumn("_start", F.coalesce(F.max("_mark").over(within.rangeBetween(Window.unboundedPreceding, 0)), "_before", "_zero"))
         x = x.withColumn("_end", F.coalesce(F.min("_mark").over(within.rangeBetween(1, Window.unboundedFollowing)), "_after"))
         return self.lower(self.lift(x.where("_end IS NOT NULL"), [*self.keys, "_start", "_end"]), spec)
 
     def counted(self, w: CountTumbling | CountSliding, spec: int) -> DataFrame:
-        x = self.stretched()
-        per = x.groupBy(*self.keys, "_at").agg(F.count(F.lit(1)).alias("_rows"))
         whole = Window.partitionBy(*self.keys)
-        per = per.withColumn("_base", F.sum("_rows").over(whole.orderBy("_at")) - F.col("_rows")).withColumn("_total", F.sum("_rows").over(whole))
-        rank = F.row_number().over(Window.partitionBy(*self.keys, "_at").orderBy(T, *self.order)) - 1
-        x = self.carried(x.withColumn("_rank", rank), per, "_base", "_total").withColumn("_b", F.col("_rank") + F.col("_base"))
+        if self.small():
+            x = self.rows.withColumn("_b", F.row_number().over(whole.orderBy(T, *self.order)).cast("long") - 1).withColumn("_total", F.count(F.lit(1)).over(whole))
+        else:
+            x = self.stretched()
+            per = x.groupBy(*self.keys, "_at").agg(F.count(F.lit(1)).alias("_rows"))
+            per = per.withColumn("_base", F.sum("_rows").over(whole.orderBy("_at")) - F.col("_rows")).withColumn("_total", F.sum("_rows").over(whole))
+            rank = F.row_number().over(Window.partitionBy(*self.keys, "_at").orderBy(T, *self.order)) - 1
+            x = self.carried(x.withColumn("_rank", rank), per, "_base", "_total").withColumn("_b", F.col("_rank") + F.col("_base"))
         as_time = Tumbling(w.size) if isinstance(w, CountTumbling) else Sliding(w.size, w.slide)
         x = self.in_windows(x, [(spec, as_time)])
         return self.lower(self.lift(x.where("_end <= _total"), [*self.keys, "_start", "_end"]), spec)
