@@ -35,6 +35,8 @@ PATTERNS = {
 #: Runs that can be secrets, by length.
 SECRET, BITS = 20, 64
 RUN_OF = rf"(?<![A-Za-z0-9])[A-Za-z0-9]{{{SECRET},}}+"
+#: What each run of letters and digits holds somewhere.
+MEETING = "[0-9][A-Za-z]|[A-Za-z][0-9]"
 WORD = r"[\p{L}\p{M}\p{Nd}]+"
 SUPPORT, THRESHOLD = 3, 0.9
 SPAN = "struct<start:int,end:int,value:string>"
@@ -200,7 +202,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
     terms = F.when(F.col("found").isNotNull(), F.transform(F.filter(own, apart), labelled("term"))).otherwise(none)
     runs = located(F.col("text"), RUN_OF, secret)
-    secrets = F.when(F.col("text").rlike(RUN_OF), F.transform(F.filter(runs, apart), labelled("secret"))).otherwise(none)
+    secrets = F.when(F.col("text").rlike(MEETING) & F.col("text").rlike(RUN_OF), F.transform(F.filter(runs, apart), labelled("secret"))).otherwise(none)
     return rows.select("doc_id", "text", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], "base", terms.alias("terms"), secrets.alias("secrets"))
 
 
