@@ -26,6 +26,8 @@ from slicewin.operators.windows import Added, CountSliding, CountTumbling, Fixed
 STRETCH = 1024
 #: Rows that a stretch holds on average, where stretches are cut by the number of rows.
 ROWS = 100_000
+#: Grids of edges up to which the start of a slice is one expression.
+GRIDS = 16
 T = "_t"
 
 
@@ -82,7 +84,12 @@ class Plan:
     def slice_start(self, windows: list) -> Column:
         """The last edge of any window at or before the row; windows that hold it hold all of its slice."""
         t = F.col(T)
-        at = [_floor(t - o, s) + o if o else _floor(t, s) for s, o in edges(windows)]
+        grids = edges(windows)
+        at = [_floor(t - o, s) + o if o else _floor(t, s) for s, o in grids]
+        if len(grids) > GRIDS:
+            # So many terms make a method that the JVM does not compile; over an array they are a loop.
+            table = F.array(*[F.struct(_long(s).alias("s"), _long(o).alias("o")) for s, o in grids])
+            at = [F.array_max(F.transform(table, lambda g: _floor(t - g["o"], g["s"]) + g["o"]))]
         at += [F.when(t >= e, _long(e)).otherwise(_long(-(1 << 62))) for w in windows if isinstance(w, FixedBand) for e in (w.start, w.start + w.size)]
         return F.greatest(*at) if len(at) > 1 else at[0]
 

@@ -27,6 +27,8 @@ def test_shared_slices_give_what_rows_give(spark):
     rows = drawn(spark)
     windows = [W.Sliding(10, 3), W.Sliding(10, 4), W.Tumbling(40), W.Tumbling(17), W.Sliding(60, 25), W.Sliding(5, 9), W.FixedBand(101, 333), W.Tumbling(1001), W.Tumbling(1038)]
     aggregates = [A.sum_of("value"), A.count_rows(), A.min_of("value"), A.max_of("value"), A.mean_of("value")]
+    many = [W.Sliding(20 + 7 * i, 31 + 5 * i) for i in range(30)] + [W.FixedBand(50, 700)]
+    same(aggregate_windows(rows, many, aggregates), aggregate_windows(rows, many, aggregates, share=False))
     for keys in ([], ["key"]):
         same(aggregate_windows(rows, windows, aggregates, keys=keys), aggregate_windows(rows, windows, aggregates, keys=keys, share=False))
 
