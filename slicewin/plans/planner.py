@@ -208,14 +208,15 @@ class Plan:
         else:
             x = self.stretched().withColumn("_mark", mark)
             per = x.groupBy(*self.keys, "_at").agg(F.min(T).alias("_low"), F.min("_mark").alias("_lo"), F.max("_mark").alias("_hi"))
-            order = Window.partitionBy(*self.keys).orderBy("_at")
-            per = per.withColumn("_zero", F.min("_low").over(Window.partitionBy(*self.keys)))
-            per = per.withColumn("_before", F.max("_hi").over(order.rowsBetween(Window.unboundedPreceding, -1)))
-            per = per.withColumn("_after", F.min("_lo").over(order.rowsBetween(1, Window.unboundedFollowing)))
+            each = Window.partitionBy(*self.keys)
+            per = per.withColumn("_zero", F.min("_low").over(each))
+            per = per.withColumn("_before", F.max("_hi").over(each.orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)))
+            per = per.withColumn("_after", F.min("_lo").over(each.orderBy(F.desc("_at")).rowsBetween(Window.unboundedPreceding, -1)))
             x = self.carried(x, per, "_zero", "_before", "_after")
-        within = Window.partitionBy(*self.keys, *([] if self.small() else ["_at"])).orderBy(T)
-        x = x.withColumn("_start", F.coalesce(F.max("_mark").over(within.rangeBetween(Window.unboundedPreceding, 0)), "_before", "_zero"))
-        x = x.withColumn("_end", F.coalesce(F.min("_mark").over(within.rangeBetween(1, Window.unboundedFollowing)), "_after"))
+        within = Window.partitionBy(*self.keys, *([] if self.small() else ["_at"]))
+        x = x.withColumn("_start", F.coalesce(F.max("_mark").over(within.orderBy(T).rangeBetween(Window.unboundedPreceding, 0)), "_before", "_zero"))
+        # From the last row backwards: Spark goes through all rows anew for each row of a frame without an end.
+        x = x.withColumn("_end", F.coalesce(F.min("_mark").over(within.orderBy(F.desc(T)).rangeBetween(Window.unboundedPreceding, -1)), "_after"))
         return self.lower(self.lift(x.where("_end IS NOT NULL"), [*self.keys, "_start", "_end"]), spec)
 
     def counted(self, w: CountTumbling | CountSliding, spec: int) -> DataFrame:

@@ -1,5 +1,7 @@
+import itertools
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -69,6 +71,23 @@ def test_stretches_change_nothing(spark, monkeypatch, keys):
     assert sorted(map(repr, cut.collect())) == want
 
 
+@pytest.mark.parametrize("stretch", [50, 100_000])
+def test_punctuations_go_through_rows_once(spark, monkeypatch, stretch):
+    """A frame that ends with the partition, but does not begin with it, takes the square of its rows."""
+    monkeypatch.setattr(planner, "ROWS", stretch)
+    rows = drawn(spark, 600, 2, 400)
+    out = aggregate_windows(rows, [W.Punctuation(F.col("value") < 20)], [A.sum_of("value"), A.count_rows()])
+    held = [tuple(r) for r in rows.select("ts", "value").collect()]
+    starts = sorted({t for t, v in held if v < 20} | {min(held)[0]})
+    want = []
+    for a, b in itertools.pairwise(starts):
+        values = [v for t, v in held if a <= t < b]
+        want.append((0, a, b, sum(values), len(values)))
+    assert sorted(map(tuple, out.collect())) == want
+    frames = re.findall(r"specifiedwindowframe\(\w+, ([^,]+), ([^)]+\(?\)?)\)", out._jdf.queryExecution().optimizedPlan().toString())
+    assert frames and not [f for f in frames if "unboundedfollowing" in f[1] and "unboundedpreceding" not in f[0]]
+
+
 def test_null_keys_and_times(spark):
     rows = spark.createDataFrame([(None, 1, 1), (None, 2, 2), (3, 4, 3), (3, 8, None)], "key int, value long, ts long")
     windows = [W.Tumbling(10), W.Session(5), W.CountTumbling(1), W.FixedBand(0, 10)]
