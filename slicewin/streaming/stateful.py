@@ -107,10 +107,11 @@ class Punctuated(Windowed):
 
 
 class Counted(Windowed):
-    """Full windows over the ranks of rows up to the watermark."""
+    """Full windows over the ranks of rows before the watermark; rows at it wait until it has passed them."""
 
     def wake(self, rows: list[tuple]) -> set[int]:
-        return {max(r[0] for r in rows)} if rows else set()
+        """When the watermark is past the first of them; ``give`` sets the timer for what it leaves."""
+        return {min(r[0] for r in rows) + 1} if rows else set()
 
     def give(self, key: tuple, watermark: int) -> list[dict]:
         size, slide = self.window.size, self.window.slide
@@ -118,7 +119,8 @@ class Counted(Windowed):
         start = self.last.get()[0] if self.last.exists() else 0
         # ``last`` is the rank of the first row held; a slide beyond the size leaves rows out first.
         base = start
-        sure = [r for r in rows if r[0] <= watermark]
+        sure = [r for r in rows if r[0] < watermark]
+        rest = rows[len(sure) :]
         skip = -base % slide if slide > size and base % slide >= size else 0
         sure, base = sure[skip:], base + min(skip, len(sure))
         sliding = [f.sliding([r[3][i] for r in sure], size, slide) for i, (_, f) in enumerate(self.folds)]
@@ -126,8 +128,9 @@ class Counted(Windowed):
         for j in range(n):
             out.append(self.row(key, base + j * slide, base + j * slide + size, [s[j] for s in sliding]))
         gone = min(n * slide, len(sure))
-        left = len([r for r in rows if r[0] > watermark])
-        self.hold(sure[gone:] + (rows[-left:] if left else []))
+        self.hold(sure[gone:] + rest)
+        if rest:
+            self.handle.registerTimer(rest[0][0] + 1)
         self.last.update((base + gone,))
         return out
 

@@ -78,6 +78,14 @@ def test_counts_of_a_stream(spark, tmp_path):
     assert got == [("k", 0, 3, 2, 3), ("k", 2, 5, 2, 3), ("k", 4, 7, 2, 3)]
 
 
+@pytest.mark.parametrize("batches, want", [(["1@1 2@2 3@3 4@4"], [(0, 2, 3)]), (["1@1 2@2 3@3 4@4", "5@10"], [(0, 2, 3), (2, 4, 7)])])
+def test_counts_of_a_stream_are_of_rows_before_the_watermark(spark, tmp_path, batches, want):
+    """The newest row waits until the watermark has passed it, and does not hold up those before it."""
+    use_rocksdb(spark)
+    got = streamed(spark, tmp_path, batches, lambda rows: stream_stateful(rows, W.CountTumbling(2), [("value", A.fold_sum())], keys=["key"], lateness=0))
+    assert got == [("k", *w) for w in want]
+
+
 def test_late_sessions_are_refined(spark, tmp_path):
     use_rocksdb(spark)
     batches = ["1@2600 1@2610 1@2800", "1@3000", "1@2605 1@3010", "7@2621", "9@9000"]
